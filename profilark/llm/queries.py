@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import table
 from profilark.llm import decontaminate, htmltext, langid, media, mixing
+from profilark.llm.linededup import LineDedup
 from profilark.llm.neardup import near_duplicates
 
 
@@ -16,6 +17,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return LineDedup(percent=80).run(docs.select("doc_id", "text"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = htmltext.extract(table(spark, sf_dir, "pages"), "page_id", "url")
     return got.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
@@ -41,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op10_language_id)}
 
 
 def _op7_sql() -> str:

@@ -43,3 +43,28 @@ def near_duplicates(rows, n, percent):
     links = [(a, b) for (a, b), k in pairs.items() if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k)]
     comp = components(sets, links)
     return {i: (len(sets[i]), comp[i]) for i in sets}
+
+
+def removed_lines(rows, percent):
+    """rows: (id, text) -> id -> sorted numbers of lines with an earlier similar line (ids distinct)."""
+    lines = []
+    for i, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+        for k, line in enumerate(t.split("\n")):
+            w = frozenset(re.findall(r"[^\x20\x09-\x0D]+", lower(line)))
+            if w:
+                lines.append((i, k, w))
+    out, where, seen = {}, {}, set()
+    for n, (i, k, w) in enumerate(lines):
+        if w in seen:
+            out.setdefault(i, []).append(k)
+            continue
+        seen.add(w)
+        shared = {}
+        for x in w:
+            for m in where.get(x, ()):
+                shared[m] = shared.get(m, 0) + 1
+        if any(100 * c >= percent * (len(w) + len(lines[m][2]) - c) for m, c in shared.items()):
+            out.setdefault(i, []).append(k)
+        for x in w:
+            where.setdefault(x, []).append(n)
+    return out
