@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import table
 from profilark.llm import decontaminate, htmltext, langid, media, mixing
+from profilark.llm.licenses import LicenseScan
 from profilark.llm.linededup import LineDedup
 from profilark.llm.neardup import near_duplicates
+from profilark.llm.secrets import SecretScan
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineDedup(percent=80).run(docs.select("doc_id", "text"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScan().run(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = htmltext.extract(table(spark, sf_dir, "pages"), "page_id", "url")
     return got.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
@@ -40,6 +46,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.SourceMix(weights=(1, 2, 3), most=3).plan(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LicenseScan(percent=80).run(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tagger = langid.LanguageTagger().fit(docs.where(langid.remainder() != 1))
@@ -47,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op9_license_scan, op10_language_id)}
 
 
 def _op7_sql() -> str:
@@ -84,4 +94,4 @@ _OP8_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": _op7_sql(), "op8_source_mixing": _OP8_SQL}
+    return {"op7_benchmark_decontamination": _op7_sql(), "op8_source_mixing": _OP8_SQL, "op9_license_scan": LicenseScan(percent=80).oracle()}
