@@ -15,7 +15,8 @@ document id, or the same document and a smaller line number) has Jaccard similar
    so resolved need no further partner, the others are then compared with all earlier ones.
 4. Candidates are verified on the full word sets of their lines.
 
-Definitions.  Lines end at a line feed.  Lines without words stay.  Null texts stay null; rows
+Definitions.  Lines end at a line feed.  Lines of fewer than ``least_words`` words stay and remove
+nothing; lines without words always stay.  Null texts stay null; rows
 with a null id are kept as they are and remove nothing.  Rows that share an id are one document:
 lines of equal number in them do not remove each other.  A document all of whose lines with
 words go has an empty text and ``emptied`` true.  Other columns are kept.
@@ -53,7 +54,7 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _scan():
+def _scan(least: int):
     names = ["doc", "line", "f1", "f2", "segment", "counts"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -71,6 +72,8 @@ def _scan():
                 place = (np.arange(len(line)) - np.repeat(at, size)) % ts.BLOCK
                 f1 = ts.mix(np.add.reduceat(w.hash * ts._up[place], at))
                 f2 = ts.mix(np.add.reduceat((w.hash ^ np.uint64(0x5851F42D4C957F2D)) * ts._down[place], at) + np.uint64(1))
+                long = np.flatnonzero(size >= least)
+                at, f1, f2 = at[long], f1[long], f2[long]
                 none = pa.nulls(len(at))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(text[at])), pa.array((line[at] - first[text[at]]).astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())],
@@ -130,7 +133,7 @@ def _sorted_sets(w: ts.Words, line: np.ndarray, level: np.ndarray) -> tuple[np.n
     return line[new], hashes[new], rank[new]
 
 
-def _prefixes(percent: int, shared):
+def _prefixes(percent: int, least: int, shared):
     names = ["doc", "line", "n", "b0", "b1", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +143,14 @@ def _prefixes(percent: int, shared):
                 w = ts.words(part.column(1))
                 if not len(w.hash):
                     continue
-                line, first, text = _lines(w)
-                line, hashes, rank = _sorted_sets(w, line, level)
+                line0, first, text = _lines(w)
+                at0 = _starts(line0)
+                line, hashes, rank = _sorted_sets(w, line0, level)
                 at = _starts(line)
                 n = np.diff(np.append(at, len(line)))
                 number = line[at]
                 of = np.searchsorted(first, number, side="right") - 1
-                use = np.ones(len(n), bool)
+                use = np.diff(np.append(at0, len(line0))) >= least  # as repeated words count
                 same = n - (n * percent + 99) // 100 + 1
                 skip = part.column(2)
                 if skip.null_count < len(skip):
@@ -204,16 +208,16 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineDedup:
     """``removed`` lists the lines that go; ``run`` returns the documents without them."""
 
-    def __init__(self, percent: int = 80, hot: int = 256, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, percent: int = 80, hot: int = 256, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text"):
         if not 50 <= percent <= 100 or hot < 2:
             raise ValueError("percent: 50 to 100; hot: 2 at least")
-        self.percent, self.hot, self.id_col, self.text_col = percent, hot, id_col, text_col
+        self.percent, self.hot, self.least_words, self.id_col, self.text_col = percent, hot, least_words, id_col, text_col
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """``doc, lines`` (sorted numbers from 0) of every document that loses lines."""
         ship(docs.sparkSession)
         texts = docs.select(F.col(self.id_col).cast("long").alias("doc"), F.col(self.text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-        scan = materialize(texts.mapInArrow(_scan(), "doc long, line int, f1 long, f2 long, segment int, counts binary"), "lines")
+        scan = materialize(texts.mapInArrow(_scan(self.least_words), "doc long, line int, f1 long, f2 long, segment int, counts binary"), "lines")
         level = bytearray(1 << BITS)
         counts = scan.where("segment is not null").select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
         counts = counts.groupBy("segment", "salt").applyInArrow(_add, "segment int, counts binary")
@@ -223,7 +227,7 @@ class LineDedup:
 
         copies = self._copies(scan.where("segment is null").select("doc", "line", "f1", "f2"))
         gone = materialize(copies.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "copied")
-        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, shared), "doc long, line int, n int, b0 long, b1 long, prefix array<long>"), "prefixes")
+        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, shared), "doc long, line int, n int, b0 long, b1 long, prefix array<long>"), "prefixes")
         similar = self._similar(prefixes, texts)
         lines = gone.select("doc", F.explode("lines").alias("line")).unionByName(similar)
         return lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))

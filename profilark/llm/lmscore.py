@@ -1,0 +1,289 @@
+"""Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
+
+Every word is predicted from the two words on each side: log p(word | both sides) =
+log p(class | window) + log p(word | class).  The most frequent words are classes of their own;
+all others fall into classes by their last two bytes, with p(word | class) from the counts of the
+whole corpus (hashed into 2^20 counters).  The network embeds the four neighbours' classes, has one
+tanh layer and a softmax over classes.  A document's score is the sum of its words' conditional
+log-probabilities.
+
+Training.  Words are counted over all documents.  A start is fitted on the driver from a bounded
+sample (``warm_docs`` documents of at most ``warm_bytes``, by hash of the id); then every task
+trains on its part of *all* documents, masking one word in ``mask_every``, and the weights are
+averaged by the number of masked words (sixteen partial sums reach the driver, whatever the corpus).
+
+Definitions.  Words are lower-cased runs of anything but white space.  Null and wordless texts have
+no words, log-probability 0 and a null mean.  Windows end at the text's ends.  Ids may be null or
+repeat; each row is scored by its own text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from profilark.functions.cluster import materialize, ship
+from profilark.llm import textscan as ts
+
+CLASSES, FREQUENT = 256, 191  # class 0 is beyond the text; 1..191 frequent words; the rest by ending
+TAIL = CLASSES - 1 - FREQUENT
+EMBED, HIDDEN = 16, 32
+SIDES = (-2, -1, 1, 2)
+BITS, SEGMENTS = 20, 64
+WIDTH = (1 << BITS) // SEGMENTS
+SHAPES = [(CLASSES, EMBED), (len(SIDES), EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+
+
+@dataclass
+class Vocabulary:
+    frequent: np.ndarray  # sorted hashes
+    place: np.ndarray  # their classes
+    counts: np.ndarray  # 2^20 hashed counts of the other words
+    totals: np.ndarray  # words by class
+
+
+def tail_class(w: ts.Words) -> np.ndarray:
+    """A class from the last two bytes of each word."""
+    last = ts.LOWER[w.buf[w.end - 1]].astype(np.int64) if len(w.start) else np.zeros(0, np.int64)
+    before = np.where(w.end - w.start > 1, ts.LOWER[w.buf[np.maximum(w.end - 2, 0)]], 0) if len(w.start) else last
+    return 1 + FREQUENT + (last * 31 + before * 7) % TAIL
+
+
+def classes(v: Vocabulary, w: ts.Words) -> np.ndarray:
+    out = tail_class(w)
+    if len(v.frequent):
+        at = np.searchsorted(v.frequent, w.hash)
+        at[at == len(v.frequent)] = 0
+        hit = v.frequent[at] == w.hash
+        out[hit] = v.place[at[hit]]
+    return out
+
+
+def within_class(v: Vocabulary, w: ts.Words, c: np.ndarray) -> np.ndarray:
+    """log p(word | class)."""
+    n = v.counts[(w.hash >> np.uint64(64 - BITS)).astype(np.int64)]
+    share = np.log((n + 0.5) / (np.maximum(v.totals[c], n) + 1.0))
+    return np.where(c > FREQUENT, np.minimum(share, 0.0), 0.0)
+
+
+class Network:
+    """Weights in one flat vector; ``parts`` are views of it."""
+
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
+        sizes = [int(np.prod(s)) for s in SHAPES]
+        if flat is None:
+            r = np.random.default_rng(seed)
+            flat = np.concatenate([r.normal(0, scale, n) for n, scale in zip(sizes, (0.3, 0.3, 0.0, 0.1, 0.0))])
+        self.flat = flat.astype(np.float32)
+        ends = np.cumsum(sizes)
+        self.parts = [self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, SHAPES)]
+
+    def tables(self) -> np.ndarray:
+        """The first layer's input from each class at each side."""
+        embed, first = self.parts[0], self.parts[1]
+        return np.einsum("ce,seh->sch", embed, first)
+
+    def log_probability(self, context: np.ndarray, target: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        _, _, b1, w2, b2 = self.parts
+        h = np.tanh(sum(tables[s][context[:, s]] for s in range(len(SIDES))) + b1)
+        z = h @ w2
+        z += b2
+        z[:, 0] = -60.0
+        own = z[np.arange(len(z)), target]
+        top = z.max(1)
+        z -= top[:, None]
+        np.exp(z, out=z)
+        return own - top - np.log(z.sum(1))
+
+    def train(self, context: np.ndarray, target: np.ndarray, state: np.ndarray, rate: float = 0.08, batch: int = 512) -> None:
+        """One pass of Adagrad; ``state`` sums squared gradients."""
+        embed, first, b1, w2, b2 = self.parts
+        grad = np.zeros_like(self.flat)
+        ends = np.cumsum([p.size for p in self.parts])
+        g_embed, g_first, g_b1, g_w2, g_b2 = (grad[e - p.size : e].reshape(p.shape) for e, p in zip(ends, self.parts))
+        for i in range(0, len(target), batch):
+            c, y = context[i : i + batch], target[i : i + batch]
+            e = embed[c]
+            h = np.tanh(np.einsum("nse,seh->nh", e, first, optimize=True) + b1)
+            z = h @ w2 + b2
+            z[:, 0] = -60.0
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            z[np.arange(len(y)), y] -= 1
+            z /= len(y)
+            g_w2[:] = h.T @ z
+            g_b2[:] = z.sum(0)
+            d = (z @ w2.T) * (1 - h * h)
+            g_b1[:] = d.sum(0)
+            g_first[:] = np.einsum("nse,nh->seh", e, d, optimize=True)
+            back = np.einsum("nh,seh->nse", d, first, optimize=True).reshape(-1, EMBED)
+            flat = c.ravel()
+            for k in range(EMBED):
+                g_embed[:, k] = np.bincount(flat, back[:, k], CLASSES)
+            state += grad * grad
+            self.flat -= rate * grad / np.sqrt(state + 1e-8)
+
+
+def windows(c: np.ndarray, ptr: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The classes on each side of the words at these positions (0 beyond the text)."""
+    at = np.arange(len(c)) if at is None else at
+    text = np.searchsorted(ptr, at, side="right") - 1
+    lo, hi = ptr[text], ptr[text + 1]
+    out = np.empty((len(at), len(SIDES)), np.int64)
+    for k, s in enumerate(SIDES):
+        j = at + s
+        ok = (j >= lo) & (j < hi)
+        out[:, k] = np.where(ok, c[np.where(ok, j, 0)], 0) if len(c) else 0
+    return out
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, ending class, count), summed over a few megabytes of text at a time."""
+    names = ["word", "tail", "n"]
+
+    def flush(hashes, tails):
+        word, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(tails)[first].astype(np.int32)), pa.array(n)], names=names)
+
+    hashes, tails, held = [], [], 0
+    for whole in batches:
+        for part in ts.slices(whole, "text"):
+            w = ts.words(part.column(1))
+            hashes.append(w.hash)
+            tails.append(tail_class(w))
+            held += len(w.hash)
+            if held > 1 << 21:
+                yield flush(hashes, tails)
+                hashes, tails, held = [], [], 0
+    if hashes:
+        yield flush(hashes, tails)
+
+
+def _segment(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(WIDTH, np.float64)
+    for b in batches:
+        at = (b.column(b.schema.get_field_index("word")).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+        total += np.bincount(at & (WIDTH - 1), b.column(b.schema.get_field_index("n")).to_numpy(zero_copy_only=False), WIDTH)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["segment", "counts"])
+
+
+def _train(shared, every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, flat, state = shared.value
+        net, state, used = Network(flat.copy()), state.copy(), 0
+        for whole in batches:
+            for part in ts.slices(whole, "text"):
+                w = ts.words(part.column(1))
+                c = classes(v, w)
+                # every text masks its own share, from an offset that its length gives
+                own = np.arange(len(c)) - np.repeat(w.ptr[:-1], w.count) + np.repeat(w.count, w.count)
+                at = np.flatnonzero(own % every == 0)
+                net.train(windows(c, w.ptr, at), c[at], state)
+                used += len(at)
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array([used]), pa.array([(net.flat.astype(np.float64) * used).tobytes()], pa.binary())], names=["n", "weights"])
+
+    return run
+
+
+def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, 0.0
+    for b in batches:
+        for k, w in zip(b.column(b.schema.get_field_index("n")).to_pylist(), b.column(b.schema.get_field_index("weights"))):
+            n += k
+            total = total + np.frombuffer(w.as_py(), np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, flat = shared.value
+        net = Network(flat)
+        tables = net.tables()
+        for whole in batches:
+            for part in ts.slices(whole, "text"):
+                w = ts.words(part.column(1))
+                c = classes(v, w)
+                logs = within_class(v, w, c)
+                for i in range(0, len(c), 4096):
+                    at = np.arange(i, min(i + 4096, len(c)))
+                    logs[at] += net.log_probability(windows(c, w.ptr, at), c[at], tables)
+                sums = np.append(0, np.cumsum(logs))
+                total = sums[w.ptr[1:]] - sums[w.ptr[:-1]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.count.astype(np.int64)), pa.array(np.round(total, 3))], names=["id", "n_words", "log_probability"])
+
+    return run
+
+
+class WindowLM:
+    """``fit`` on a corpus, then ``score`` documents."""
+
+    def __init__(self, id_col: str = "doc_id", text_col: str = "text", mask_every: int = 16, warm_docs: int = 300, warm_bytes: int = 50_000, warm_passes: int = 2):
+        self.id_col, self.text_col, self.mask_every, self.warm_docs, self.warm_bytes, self.warm_passes = id_col, text_col, mask_every, warm_docs, warm_bytes, warm_passes
+        self.vocabulary: Vocabulary | None = None
+        self.network: Network | None = None
+
+    def _texts(self, docs: DataFrame) -> DataFrame:
+        ship(docs.sparkSession)
+        return docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).cast("string").alias("text"))
+
+    def fit(self, docs: DataFrame) -> WindowLM:
+        texts = self._texts(docs)
+        spark = docs.sparkSession
+        counts = texts.mapInArrow(_count, "word long, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+        counts = materialize(counts, "words")
+        top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+        frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+        totals = np.zeros(CLASSES)
+        for r in counts.groupBy("tail").agg(F.sum("n").alias("n")).collect():
+            totals[r["tail"]] = r["n"]
+        for k, r in enumerate(top):
+            totals[r["tail"]] -= r["n"]
+            totals[1 + k] = r["n"]
+        order = np.argsort(frequent)
+        table = np.zeros(1 << BITS, np.float32)
+        segment = F.shiftrightunsigned("word", 64 - SEGMENTS.bit_length() + 1).cast("int").alias("segment")
+        rare = counts.select("word", "n", segment)
+        for r in rare.groupBy("segment").applyInArrow(_segment, "segment int, counts binary").collect():
+            table[r["segment"] * WIDTH : (r["segment"] + 1) * WIDTH] = np.frombuffer(r["counts"], np.float32)
+        v = self.vocabulary = Vocabulary(frequent[order], (order + 1).astype(np.int64), table, totals)
+        net, state = Network(), np.zeros(sum(int(np.prod(s)) for s in SHAPES), np.float32)
+        self._warm(texts, v, net, state)
+        shared = spark.sparkContext.broadcast((v, net.flat, state))
+        trained = texts.mapInArrow(_train(shared, self.mask_every), "n long, weights binary").withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16)))
+        merged = trained.groupBy("salt").applyInArrow(_merge, "n long, weights binary").collect()
+        n = sum(r["n"] for r in merged)
+        if n:
+            net = Network(sum(np.frombuffer(r["weights"], np.float64) for r in merged) / n)
+        self.network = net
+        return self
+
+    def _warm(self, texts: DataFrame, v: Vocabulary, net: Network, state: np.ndarray) -> None:
+        rows = texts.where(F.octet_length("text").between(1, self.warm_bytes)).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+        n = rows.count()
+        if not n:
+            return
+        share = min(1 << 20, int((self.warm_docs * 1.3 + 20) / n * (1 << 20)) + 1)
+        got = sorted(rows.where(F.col("h") < share).select("h", "id", "text").collect(), key=lambda r: (r["h"], str(r["id"]), r["text"]))[: self.warm_docs]
+        w = ts.words(pa.array([r["text"] for r in got], pa.string()))
+        c = classes(v, w)
+        for k in range(self.warm_passes):
+            at = np.random.default_rng(k).permutation(len(c))
+            net.train(windows(c, w.ptr, at), c[at], state)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """``id, n_words, log_probability, mean_log_probability`` of every document."""
+        if self.network is None:
+            raise ValueError("fit first")
+        texts = self._texts(docs)
+        shared = docs.sparkSession.sparkContext.broadcast((self.vocabulary, self.network.flat))
+        kind = texts.schema["id"].dataType.simpleString()
+        out = texts.mapInArrow(_score(shared), f"id {kind}, n_words long, log_probability double")
+        mean = F.when(F.col("n_words") > 0, F.round(F.col("log_probability") / F.col("n_words"), 4))
+        return out.select(F.col("id").alias(self.id_col), "n_words", "log_probability", mean.alias("mean_log_probability"))

@@ -11,6 +11,7 @@ from profilark.functions.cluster import table
 from profilark.llm import decontaminate, htmltext, langid, media, mixing
 from profilark.llm.licenses import LicenseScan
 from profilark.llm.linededup import LineDedup
+from profilark.llm.lmscore import WindowLM
 from profilark.llm.neardup import near_duplicates
 from profilark.llm.secrets import SecretScan
 
@@ -28,6 +29,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SecretScan().run(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return WindowLM().fit(docs).score(docs)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = htmltext.extract(table(spark, sf_dir, "pages"), "page_id", "url")
     return got.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
@@ -57,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op9_license_scan, op10_language_id)}
+    return {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op4_lm_scoring, op5_html_extraction, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_source_mixing, op9_license_scan, op10_language_id)}
 
 
 def _op7_sql() -> str:

@@ -1,0 +1,69 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from profilark.functions.cluster import table
+from profilark.llm import lmscore
+from profilark.llm import textscan as ts
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    return lmscore.WindowLM(warm_docs=100, warm_passes=1).fit(table(spark, small, "documents"))
+
+
+def test_prose_scores_above_shuffled_and_random_words(spark, small, model):
+    texts = [r.text for r in table(spark, small, "documents").where("lang = 'en' and length(text) between 400 and 4000").orderBy("doc_id").limit(60).collect()]
+    r = random.Random(1)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += [(1000 + k, " ".join(r.sample(t.split(), len(t.split())))) for k, t in enumerate(texts)]
+    rows += [(2000 + k, " ".join("".join(r.choice("qxzjkv0123") for _ in w) for w in t.split())) for k, t in enumerate(texts)]
+    got = {x.doc_id: x for x in model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    better = sum(got[k].mean_log_probability >= got[1000 + k].mean_log_probability for k in range(60))
+    assert better >= 36
+    assert all(got[k].mean_log_probability > got[2000 + k].mean_log_probability for k in range(60))
+
+
+def test_sums_equal_word_by_word(spark, model):
+    text = "The of and thing, the to. Que de la Über x"
+    w = ts.words(pa.array([text]))
+    c = lmscore.classes(model.vocabulary, w)
+    net, within = model.network, lmscore.within_class(model.vocabulary, w, c)
+    embed, first, b1, w2, b2 = net.parts
+    total = 0.0
+    for i in range(len(c)):
+        h = b1.astype(float).copy()
+        for k, s in enumerate(lmscore.SIDES):
+            h += embed[c[i + s] if 0 <= i + s < len(c) else 0].astype(float) @ first[k]
+        z = np.tanh(h) @ w2 + b2
+        z[0] = -60
+        total += z[c[i]] - np.log(np.exp(z).sum()) + within[i]
+    got = model.score(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words == len(text.split()) and got.log_probability == pytest.approx(total, abs=0.01)
+
+
+def test_gradient():
+    r = np.random.default_rng(0)
+    c, y = r.integers(0, lmscore.CLASSES, (8, 4)), r.integers(1, lmscore.CLASSES, 8)
+    net = lmscore.Network(seed=1)
+    loss = lambda flat: -lmscore.Network(flat).log_probability(c, y, lmscore.Network(flat).tables()).mean()
+    before, state = net.flat.astype(np.float64), np.full(net.flat.size, 1e12, np.float32)
+    step = lmscore.Network(before)
+    step.train(c, y, state, rate=1e6)
+    grad = before - step.flat  # rate / sqrt(state) = 1
+    for k in r.choice(np.flatnonzero(np.abs(grad) > 1e-3), 25):
+        d = np.zeros(before.size)
+        d[k] = 1e-2
+        assert (loss(before + d) - loss(before - d)) / 2e-2 == pytest.approx(grad[k], rel=0.05, abs=2e-3)
+
+
+def test_edges(spark, model):
+    rows = [(None, None), (1, ""), (2, " \n"), (3, "the"), (3, "the"), (4, "of the and " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "'w' AS weights")
+    got = sorted(((r.doc_id, r.n_words, r.mean_log_probability is None) for r in model.score(df).collect()), key=repr)
+    assert got == sorted([(None, 0, True), (1, 0, True), (2, 0, True), (3, 1, False), (3, 1, False), (4, 150_000, False)], key=repr)
+    assert model.score(df.limit(0)).count() == 0
+    empty = lmscore.WindowLM().fit(df.limit(0))
+    assert empty.score(df).count() == len(rows)
