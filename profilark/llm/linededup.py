@@ -10,15 +10,15 @@ document id, or the same document and a smaller line number) has Jaccard similar
    join is exact however words share counters) and emits the prefix that two similar lines must
    share a word of, without words that occur once.
 3. Lines are joined on prefix words under the length bound, the positional bound and a bound from
-   128-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words in the
-   prefixes of more than ``hot`` lines first propose every line to the earliest one only; lines
-   so resolved need no further partner, the others are then compared with all earlier ones.
+   128-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words whose
+   counter passes ``hot`` first propose every line to the earliest one only; lines so resolved
+   need no further partner, the others are then compared with all earlier ones.
 4. Candidates are verified on the full word sets of their lines.
 
 Definitions.  Lines end at a line feed.  Lines of fewer than ``least_words`` words stay and remove
 nothing; lines without words always stay.  Null texts stay null; rows
-with a null id are kept as they are and remove nothing.  Rows that share an id are one document:
-lines of equal number in them do not remove each other.  A document all of whose lines with
+with a null id are kept as they are and remove nothing.  Rows that share an id keep
+the lines that they have in common.  A document all of whose lines with
 words go has an empty text and ``emptied`` true.  Other columns are kept.
 """
 
@@ -55,8 +55,8 @@ def _starts(key: np.ndarray) -> np.ndarray:
 
 
 def _scan(least: int):
-    names = ["doc", "line", "f1", "f2", "segment", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc", "line", "f1", "f2", "again", "segment", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.uint32)
@@ -74,16 +74,20 @@ def _scan(least: int):
                 f2 = ts.mix(np.add.reduceat((w.hash ^ np.uint64(0x5851F42D4C957F2D)) * ts._down[place], at) + np.uint64(1))
                 long = np.flatnonzero(size >= least)
                 at, f1, f2 = at[long], f1[long], f2[long]
+                order = np.lexsort((line[at], f2, f1, text[at]))
+                a, b = order[1:], order[:-1]
+                again = np.zeros(len(at), bool)
+                again[a] = (text[at[a]] == text[at[b]]) & (f1[a] == f1[b]) & (f2[a] == f2[b])
                 none = pa.nulls(len(at))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text[at])), pa.array((line[at] - first[text[at]]).astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())],
+                    [part.column(0).take(pa.array(text[at])), pa.array((line[at] - first[text[at]]).astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(again), none.cast(pa.int32()), none.cast(pa.binary())],
                     names=names,
                 )
         for k in range(SEGMENTS):
             own = counts[k * WIDTH : (k + 1) * WIDTH]
             if own.any():
                 data = _sparse(own)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1).cast(t) for t in kinds[:4]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1).cast(t) for t in kinds[:5]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
 
     return run
 
@@ -109,9 +113,8 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
 
 
 def _levels(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """0 for counters of at most one, else a logarithmic level."""
-    total = _total(batches)
-    level = np.where(total <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 1))))).astype(np.uint8)
+    """The levels of one segment's counters."""
+    level = _level(_total(batches))
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["segment", "level"])
 
 
@@ -133,8 +136,15 @@ def _sorted_sets(w: ts.Words, line: np.ndarray, level: np.ndarray) -> tuple[np.n
     return line[new], hashes[new], rank[new]
 
 
-def _prefixes(percent: int, least: int, shared):
-    names = ["doc", "line", "n", "b0", "b1", "prefix"]
+def _level(count: np.ndarray | int) -> np.ndarray:
+    """0 for counters of at most one, else a logarithmic level."""
+    count = np.asarray(count)
+    return np.where(count <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
+
+
+def _prefixes(percent: int, least: int, hot: int, shared):
+    names = ["doc", "line", "n", "b0", "b1", "prefix", "warm"]
+    limit = int(_level(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, np.uint8)
@@ -171,6 +181,8 @@ def _prefixes(percent: int, least: int, shared):
                     live[some] = np.add.reduceat(token != 0, (ends - many)[some]) > 0
                 keep = np.flatnonzero(live)
                 in_keep = np.repeat(live, many)
+                is_warm = (rank[taken] > limit)[in_keep]
+                token = token[in_keep]
                 ptr = np.append(0, np.cumsum(many[keep])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -179,7 +191,7 @@ def _prefixes(percent: int, least: int, shared):
                         pa.array(n[keep].astype(np.int32)),
                         pa.array(b0[keep].view(np.int64)),
                         pa.array(b1[keep].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.ascontiguousarray(token[in_keep]).view(np.int64))),
+                        *(pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.where(own, token, np.uint64(0)).view(np.int64))) for own in (~is_warm, is_warm)),
                     ],
                     names=names,
                 )
@@ -205,6 +217,23 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs)), pa.array(lines, pa.int32()), pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc", "line", "set"])
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their removed lines, and whether nothing is left of them."""
+    for whole in batches:
+        for part in ts.slices(whole, "text"):
+            texts, emptied = [], []
+            for value, lines in zip(part.column(1), part.column(2)):
+                text = value.as_py()
+                if lines.is_valid and text is not None:
+                    gone = set(lines.as_py())
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+                    emptied.append(not text.strip(" \t\n\v\f\r"))
+                else:
+                    emptied.append(False)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(2), pa.array(emptied)], names=["kept", "text", "lines", "emptied"])
+
+
 class LineDedup:
     """``removed`` lists the lines that go; ``run`` returns the documents without them."""
 
@@ -217,7 +246,7 @@ class LineDedup:
         """``doc, lines`` (sorted numbers from 0) of every document that loses lines."""
         ship(docs.sparkSession)
         texts = docs.select(F.col(self.id_col).cast("long").alias("doc"), F.col(self.text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-        scan = materialize(texts.mapInArrow(_scan(self.least_words), "doc long, line int, f1 long, f2 long, segment int, counts binary"), "lines")
+        scan = materialize(texts.mapInArrow(_scan(self.least_words), "doc long, line int, f1 long, f2 long, again boolean, segment int, counts binary"), "lines")
         level = bytearray(1 << BITS)
         counts = scan.where("segment is not null").select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
         counts = counts.groupBy("segment", "salt").applyInArrow(_add, "segment int, counts binary")
@@ -225,9 +254,9 @@ class LineDedup:
             level[row["segment"] * WIDTH : (row["segment"] + 1) * WIDTH] = row["level"]
         shared = docs.sparkSession.sparkContext.broadcast(bytes(level))
 
-        copies = self._copies(scan.where("segment is null").select("doc", "line", "f1", "f2"))
+        copies = self._copies(scan.where("segment is null").select("doc", "line", "f1", "f2", "again"))
         gone = materialize(copies.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "copied")
-        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, shared), "doc long, line int, n int, b0 long, b1 long, prefix array<long>"), "prefixes")
+        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, self.hot, shared), "doc long, line int, n int, b0 long, b1 long, prefix array<long>, warm array<long>"), "prefixes")
         similar = self._similar(prefixes, texts)
         lines = gone.select("doc", F.explode("lines").alias("line")).unionByName(similar)
         return lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -235,17 +264,17 @@ class LineDedup:
     def run(self, docs: DataFrame, removed_col: str | None = "removed_lines", emptied_col: str | None = "emptied") -> DataFrame:
         """The documents with the remaining lines as text, the removed line numbers and whether nothing is left."""
         gone = materialize(self.removed(docs), "removed")
-        kept = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("kept"), F.col(self.id_col).cast("long").alias("doc"))
-        kept = self._with(kept, gone, "left")
-        lines = F.split(F.col("kept")[self.text_col].cast("string"), "\n", -1)
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
-        text = F.when(F.col("lines").isNull(), F.col("kept")[self.text_col]).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-        out = [text.alias(c) if c == self.text_col else F.col("kept")[c].alias(c) for c in docs.columns]
+        others = [c for c in docs.columns if c != self.text_col]
+        kept = docs.select(F.struct(*(docs[c] for c in others)).alias("kept"), F.col(self.text_col).cast("string").alias("text"), F.col(self.id_col).cast("long").alias("doc"))
+        kept = self._with(kept, gone, "left").select("kept", "text", "lines")
+        out = kept.mapInArrow(_rewrite, f"kept {kept.schema['kept'].dataType.simpleString()}, text string, lines array<int>, emptied boolean")
+        columns = [F.col("text") if c == self.text_col else F.col("kept")[c].alias(c) for c in docs.columns]
+        columns = [c.alias(self.text_col) if name == self.text_col else c for c, name in zip(columns, docs.columns)]
         if removed_col:
-            out.append(F.coalesce("lines", F.array().cast("array<int>")).alias(removed_col))
+            columns.append(F.coalesce("lines", F.array().cast("array<int>")).alias(removed_col))
         if emptied_col:
-            out.append((F.col("lines").isNotNull() & ~F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))).alias(emptied_col))
-        return kept.select(*out)
+            columns.append(F.col("emptied").alias(emptied_col))
+        return out.select(*columns)
 
     def _with(self, rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
         """Join on doc; the side is broadcast where a count proves it small."""
@@ -253,24 +282,21 @@ class LineDedup:
 
     def _copies(self, lines: DataFrame) -> DataFrame:
         """(doc, line) of all but the first of equal lines."""
-        # first within each document, so that the least document has one line
-        own = lines.groupBy("f1", "f2", "doc").agg(F.min("line").alias("first"))
-        classes = own.groupBy("f1", "f2").agg(F.min("doc").alias("d0"), F.min_by("first", "doc").alias("l0"), F.count("*").alias("docs"))
-        inside = lines.join(own.select("f1", "f2", "doc", "first"), ["f1", "f2", "doc"]).where("line > first").select("doc", "line")
+        own = lines.where("not again")
+        classes = own.groupBy("f1", "f2").agg(F.min("doc").alias("d0"), F.count("*").alias("docs")).where("docs > 1")
         salt = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
-        across = own.withColumn("salt", F.pmod("doc", F.lit(8)).cast("int")).join(classes.where("docs > 1").select("f1", "f2", "d0", salt), ["f1", "f2", "salt"])
-        return inside.unionByName(across.where("doc != d0").select("doc", F.col("first").alias("line")))
+        across = own.withColumn("salt", F.pmod("doc", F.lit(8)).cast("int")).join(classes.select("f1", "f2", "d0", salt), ["f1", "f2", "salt"]).where("doc != d0")
+        return lines.where("again").select("doc", "line").unionByName(across.select("doc", "line"))
 
     def _similar(self, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
         """(doc, line) of lines similar to an earlier one with another sequence of words."""
-        rows = prefixes.select("doc", "line", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token")).where("token != 0")
-        hot = materialize(rows.groupBy("token").count().where(F.col("count") > self.hot).select("token"), "hot")
-        some_hot = not hot.isEmpty()
-        cold = rows.join(hot, "token", "left_anti") if some_hot else rows
-        pairs = self._pairs(cold, cold)
+        spread = lambda c: prefixes.select("doc", "line", "n", "b0", "b1", F.posexplode(c).alias("pos", "token")).where("token != 0")
+        # a word of the cold part is in ``hot`` lines at most, so no group or hash bucket of the join is large
+        cold = spread("prefix")
+        pairs = self._pairs(cold, cold.hint("shuffle_hash"))
+        warm = materialize(spread("warm"), "warm")
         found = None
-        if some_hot:
-            warm = materialize(rows.join(hot, "token", "left_semi"), "warm")
+        if not warm.isEmpty():
             pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
             stars = materialize(self._pairs(warm.join(pivot, ["token", "doc", "line"], "left_semi"), warm), "stars")
             found = materialize(self._verified(stars, texts), "found")
