@@ -1,13 +1,16 @@
 """Licence notices in texts: Dice coefficient over word bigrams, in DataFrame functions only.
 
-Text is normalised (lower case, runs of anything but letters and digits become one space).  Its
-units are lines, and paragraphs of several lines (parted by blank lines).  A unit and a template
+Text is normalised (lower case, runs of anything but letters, digits and line feeds become one space).
+Its units are lines, and paragraphs of several lines (parted by lines without letters and digits).  A unit and a template
 are compared by ``2 |A & B| / (|A| + |B|)`` over their sets of word bigrams.  Since the shared
 part is no larger than either set, a template of m bigrams can only match units of
 m t / (2 - t) to m (2 - t) / t bigrams: units outside all templates' bounds are dropped before
 bigrams are made, and templates outside a unit's bounds before anything is counted.
 
-The templates are a fixed table (a few hundred bigrams) and are broadcast.
+A match shares at least m t / (2 - t) of a template's bigrams, so it holds one of any m - m t / (2 - t) + 1
+of them: texts, then units, without any of these (a regular expression over the longest bigrams of each
+template) are left before they are cut into words.  The templates are a fixed table (a few hundred
+bigrams) and are broadcast.
 
 Definitions.  Each unit gets its best template (ties: the first name).  Null or empty texts and
 units without bigrams match nothing.  Ids may be null or repeat: matches are counted per row.
@@ -52,7 +55,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("All-rights-reserved", "All rights reserved."),
 ]
 
-OTHER = r"[^\p{L}\p{N}]+"
+OTHER = r"[^\p{L}\p{N}\n]+"
 
 
 def bigrams(text: str) -> list[str]:
@@ -66,6 +69,25 @@ def size_bounds(m: int, percent: int) -> tuple[int, int]:
     return -(-m * percent // (200 - percent)), m * (200 - percent) // percent
 
 
+def necessary(b: list[str], percent: int) -> list[str]:
+    """So many of a template's bigrams (the longest) that every match holds one of them."""
+    m = len(b)
+    least = -(-percent * (m + size_bounds(m, percent)[0]) // 200)
+    return sorted(b, key=lambda x: (-len(x), x))[: m - least + 1]
+
+
+def trie(words: list[str]) -> str:
+    """A regular expression for any of these, branching by character."""
+    if len(words) == 1:
+        return re.escape(words[0])
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    end = heads.pop("", None)
+    body = "|".join(re.escape(h) + (trie(rest) if rest != [""] else "") for h, rest in sorted(heads.items()))
+    return f"(?:{body})" + ("?" if end is not None else "")
+
+
 class LicenseScan:
     """``run`` returns ``id, unit, number, license, dice, n_bigrams``, a row for each matching unit."""
 
@@ -85,19 +107,19 @@ class LicenseScan:
         spark = docs.sparkSession
         bounds = [size_bounds(len(b), self.percent) for _, _, b in self.templates]
         low, high = min(a for a, _ in bounds), max(b for _, b in bounds)
-        text = F.lower(F.col(self.text_col).cast("string"))
+        # some bigram of a match stands between spaces, line feeds or ends; its words may be parted by a line feed
+        signs = trie(sorted({x for _, _, b in self.templates for x in necessary(b, self.percent)})).replace(r"\ ", r"[ \n]+")
+        sign = F.lit(r"(?:^|[ \n])" + signs + r"(?:$|[ \n])")
+        body = F.regexp_replace(F.lower(F.col(self.text_col).cast("string")), OTHER, " ")
+        texts = docs.select(F.col(self.id_col).alias("id"), body.alias("body")).where(F.rlike("body", sign))
         numbered = lambda kind, parts: F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), x.alias("body")))
-        lines = numbered("line", F.split(text, "\n", -1))
-        paragraphs = F.filter(numbered("paragraph", F.split(text, r"\n(?:[ \t\r]*\n)+", -1)), lambda x: F.contains(x["body"], F.lit("\n")))
-        units = docs.select(F.col(self.id_col).alias("id"), F.explode(F.concat(lines, paragraphs)).alias("u")).select("id", "u.unit", "u.number", "u.body")
-        # a unit of so many bigrams has more words, and each takes two characters at least; n distinct bigrams need n + 1 words
-        units = units.where(F.length("body") > 2 * low)
-        words = F.split(F.trim(F.regexp_replace("body", OTHER, " ")), " ")
-        units = units.select("id", "unit", "number", words.alias("w")).where(F.size("w") > low)
+        lines = numbered("line", F.split("body", "\n", -1))
+        paragraphs = F.filter(numbered("paragraph", F.split("body", r"\n(?: ?\n)+", -1)), lambda x: F.contains(x["body"], F.lit("\n")))
+        units = texts.select("id", F.explode(F.concat(lines, paragraphs)).alias("u")).select("id", "u.unit", "u.number", F.trim(F.regexp_replace("u.body", r"[ \n]+", " ")).alias("body"))
+        units = units.where(F.rlike("body", sign))
+        units = units.select("id", "unit", "number", F.split("body", " ").alias("w")).where(F.size("w") > low)
         pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-        known = sorted({x for _, _, b in self.templates for x in b})
-        units = units.withColumn("b", F.array_distinct(pairs)).where(F.size("b").between(low, high))
-        units = units.select("id", "unit", "number", F.size("b").alias("n"), F.array_intersect("b", F.array(*map(F.lit, known))).alias("b")).where(F.size("b") > 0)
+        units = units.withColumn("b", F.array_distinct(pairs)).where(F.size("b").between(low, high)).select("id", "unit", "number", F.size("b").alias("n"), "b")
         each = units.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "unit", "number", "n", F.explode("b").alias("bigram"))
         near = F.expr(f"n * {self.percent} <= m * {200 - self.percent} and m * {self.percent} <= n * {200 - self.percent}")
         hits = each.join(F.broadcast(spark.sql(self._template_sql())), "bigram").where(near)
@@ -113,9 +135,10 @@ class LicenseScan:
         p = self.percent
         return rf"""
         WITH t(license, template, m, bigram) AS (VALUES {rows}),
-        u AS (SELECT {self.id_col} AS id, 'line' AS unit, unnest(string_split(lower({self.text_col}), chr(10))) AS body, generate_subscripts(string_split(lower({self.text_col}), chr(10)), 1) - 1 AS number FROM {source}
-              UNION ALL SELECT * FROM (SELECT {self.id_col}, 'paragraph', unnest(regexp_split_to_array(lower({self.text_col}), '\n(?:[ \t\r]*\n)+')) AS body, generate_subscripts(regexp_split_to_array(lower({self.text_col}), '\n(?:[ \t\r]*\n)+'), 1) - 1 FROM {source}) WHERE contains(body, chr(10))),
-        w AS (SELECT id, unit, number, string_split(trim(regexp_replace(body, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+        x AS (SELECT {self.id_col} AS id, regexp_replace(lower({self.text_col}), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS body FROM {source}),
+        u AS (SELECT id, 'line' AS unit, unnest(string_split(body, chr(10))) AS body, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS number FROM x
+              UNION ALL SELECT * FROM (SELECT id, 'paragraph', unnest(regexp_split_to_array(body, '\n(?: ?\n)+')) AS body, generate_subscripts(regexp_split_to_array(body, '\n(?: ?\n)+'), 1) - 1 FROM x) WHERE contains(body, chr(10))),
+        w AS (SELECT id, unit, number, string_split(trim(regexp_replace(body, '[ \n]+', ' ', 'g')), ' ') AS w FROM u),
         b AS (SELECT DISTINCT id, unit, number, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT id, unit, number, w, unnest(range(1, len(w))) AS i FROM w)),
         n AS (SELECT id, unit, number, count(*) AS n FROM b GROUP BY ALL),
         s AS (SELECT id, unit, number, n, license, template, m, count(*) AS shared FROM b JOIN t USING (bigram) JOIN n USING (id, unit, number) GROUP BY ALL),
