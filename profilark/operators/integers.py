@@ -79,7 +79,7 @@ def pairs_inside(counts: DataFrame) -> DataFrame:
     The number of rows up to any point is a running sum over values and query points merged in one
     order, so the range join of all pairs becomes a sort.
     """
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("bound"), F.lit(d).cast(WIDE).alias("shift"), F.lit(s).alias("sign")) for k, b in enumerate(BOUNDS) for d, s in ((b - 1, 1), (-b - 1, -1))))).alias("q")
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("bound"), F.lit(str(d)).cast(WIDE).alias("shift"), F.lit(s).alias("sign")) for k, b in enumerate(BOUNDS) for d, s in ((b - 1, 1), (-b - 1, -1))))).alias("q")
     points = counts.select("col", F.col("x").alias("key"), F.lit(0).alias("kind"), F.col("cnt").alias("add"), F.lit(0).cast("bigint").alias("ask"), F.lit(-1).alias("bound"), F.lit(0).alias("sign"))
     asks = counts.select("col", "x", "cnt", steps).select("col", (F.col("x") + F.col("q.shift")).cast(WIDE).alias("key"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("add"), F.col("cnt").alias("ask"), "q.bound", "q.sign")
     ordered = with_ordinal(points.unionByName(asks), ["col", "key", "kind", "bound", "sign"], "__q")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,32 +194,36 @@ class SetIndex(_SkipIndex):
         return self._summary(windows, n, w, d, nn, *more).select("*", *(F.lit(float(v)).alias(name) for name, v in expected.items()))
 
     def _baseline(self, values: dict[int, int], n_null: int, n: int, w: int) -> dict[str, float]:
-        """Expectations of a random order, by classes of equal counts (at most the root of twice the rows)."""
-        entries = Counter(values)
-        if n_null:
-            entries[n_null] += 1
-        mean = lambda rows, without=None: sum((m - (c == without)) * (1 - avoid(rows, w, c)) for c, m in entries.items() if m - (c == without))
-        mu, sigma = mean(n), 0.0
+        """Expectations of a random order over classes of equally frequent entries (null is an entry).
+
+        An entry of c rows is in a window with probability 1 - avoid(n, w, c); the number of entries is
+        taken as normal where a limit makes its distribution matter.
+        """
+        sizes = np.array(sorted({*values, *([n_null] if n_null else [])}), np.int64)
+        distinct = np.array([values.get(int(c), 0) for c in sizes], float)
+        members = distinct + (sizes == n_null) * bool(n_null)
+        missing = np.array([avoid(n, w, int(c)) for c in sizes])
+        expected = float(members @ (1 - missing))
+        spread = 0.0
+        if self.max_size and len(sizes):
+            together = np.array([[avoid(n, w, int(a + b)) for b in sizes] for a in sizes]) - np.outer(missing, missing)
+            others = np.outer(members, members) - np.diag(members)
+            spread = math.sqrt(max(0.0, float(members @ (missing * (1 - missing)) + (others * together).sum())))
+
+        def room(mean: float) -> float:
+            slack = self.max_size + 0.5 - mean
+            return 1.0 if not self.max_size else phi(slack / spread) if spread > 0 else float(slack >= 0)
+
+        skip = missing.copy()
         if self.max_size:
-            q = {c: avoid(n, w, c) for c in entries}
-            var = sum(m * q[c] * (1 - q[c]) for c, m in entries.items())
-            for c, m in entries.items():
-                for c2, m2 in entries.items():
-                    if pairs := m * (m2 - (c == c2)):
-                        var += pairs * (avoid(n, w, c + c2) - q[c] * q[c2])
-            sigma = math.sqrt(max(var, 0.0))
-
-        def fits(mean_entries: float) -> float:
-            if not self.max_size:
-                return 1.0
-            x = self.max_size + 0.5 - mean_entries
-            return phi(x / sigma) if sigma > 0 else float(x >= 0)
-
-        rows = vals = 0.0
-        for c, m in values.items():
-            absent = avoid(n, w, c)
-            p = absent if not self.max_size or absent == 0 else absent * fits(mean(n - c, c))
-            rows += c * m * p
-            vals += m * p
-        nn, d = sum(c * m for c, m in values.items()), sum(values.values())
-        return {"expected_skip_rows": rows / nn if nn else math.nan, "expected_skip_values": vals / d if d else math.nan, "expected_window_distinct": mu, "expected_overflow_fraction": 1 - fits(mu)}
+            for i in np.flatnonzero((missing > 0) & (distinct > 0)):
+                left = members - (np.arange(len(sizes)) == i)
+                rest = n - int(sizes[i])
+                skip[i] *= room(sum(k * (1 - avoid(rest, w, int(c))) for c, k in zip(sizes, left) if k))
+        rows, kinds = float(distinct @ sizes), float(distinct.sum())
+        return {
+            "expected_skip_rows": float(distinct @ (sizes * skip)) / rows if rows else math.nan,
+            "expected_skip_values": float(distinct @ skip) / kinds if kinds else math.nan,
+            "expected_window_distinct": expected,
+            "expected_overflow_fraction": 1 - room(expected),
+        }

@@ -1,0 +1,30 @@
+"""Run a query and its SQL twin over the same tables."""
+
+import math
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def sql_rows(sf_dir, sql):
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+    con.execute("SET TimeZone='UTC'")
+    cur = con.execute(sql)
+    names = [c[0] for c in cur.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(names), sorted((tuple(clean(r[i]) for i in order) for r in cur.fetchall()), key=repr)
+
+
+def clean(v):
+    return "nan" if isinstance(v, float) and math.isnan(v) else v
+
+
+def spark_rows(df):
+    names = sorted(df.columns)
+    return names, sorted((tuple(map(clean, r)) for r in df.select(*names).collect()), key=repr)
