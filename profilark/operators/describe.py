@@ -172,7 +172,7 @@ class Describe(Technique):
         d, n = F.col("n_unique"), F.col("n_non_null")
         c, c_low, c_high = chao1(d, F.col("f1"), F.col("f2"))
         s, s_low, s_high = schnabel(history, d, n)
-        plain, recaptured = (n == 0) | (d / n >= 0.5), ~F.isnan(s)
+        plain, recaptured = (n == 0) | (F.try_divide(d, n) >= 0.5), ~F.isnan(s)
         best = lambda a, b: F.when(plain, d.cast("double")).when(recaptured, a).otherwise(b)
         est = F.greatest(best(s, c), d.cast("double"))
         return (

@@ -83,7 +83,7 @@ class PairwiseEntropy(_Joint):
             both = both.join(F.broadcast(single.select(F.col("col").alias(f"col_{s}"), F.col("h").alias(f"h_{s}"))), f"col_{s}")
         low = F.least("h_a", "h_b")
         both = both.withColumn("mi", F.greatest(F.col("h_a") + F.col("h_b") - F.col("h_ab"), F.lit(0.0)))
-        return both.withColumn("nmi", F.when(low > 0, F.least(F.col("mi") / low, F.lit(1.0))).otherwise(F.lit(float("nan"))))
+        return both.withColumn("nmi", F.when(low > 0, F.least(F.try_divide(F.col("mi"), low), F.lit(1.0))).otherwise(F.lit(float("nan"))))
 
     def conclusions(self):
         return {"redundant": at_least("nmi", self.nmi_threshold), "near_unique": self._near_unique("h_ab")}

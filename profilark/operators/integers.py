@@ -129,7 +129,7 @@ class Delta(Technique):
         diffs = materialize(self.differences(n, columns), "deltas")
         nan = F.lit(float("nan"))
         mean = lambda v, alias: F.coalesce(F.avg(int_bytes(F.col(v)).cast("double")), nan).alias(alias)
-        zero = lambda v: F.coalesce(F.count_if(F.col(v) == 0) / F.nullif(F.count(v), F.lit(0)), nan)
+        zero = lambda v: F.coalesce(F.try_divide(F.count_if(F.col(v) == 0), F.count(v)), nan)
         base = diffs.groupBy("col").agg(
             F.count("*").alias("n_non_null"), F.count("d").alias("n_deltas"), F.min("d").alias("delta_min"), F.max("d").alias("delta_max"), F.min("dd").alias("double_delta_min"), F.max("dd").alias("double_delta_max"),
             mean("x", "value_bytes_mean"), mean("d", "delta_bytes_mean"), mean("dd", "double_delta_bytes_mean"), zero("d").alias("zero_delta_fraction"), zero("dd").alias("zero_double_delta_fraction"),

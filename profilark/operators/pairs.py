@@ -37,8 +37,8 @@ def chi_squared(cells: DataFrame) -> DataFrame:
     return out.select(
         "chi2_stat",
         F.when(defined, (F.col("k_a") - 1) * (F.col("k_b") - 1)).otherwise(0).cast("double").alias("freedom"),
-        F.when(defined, F.sqrt(F.col("chi2_stat") / (F.col("n_valid") * (F.least("k_a", "k_b") - 1)))).otherwise(nan).alias("cramers_v"),
-        F.coalesce(defined & (F.col("least_a") * F.col("least_b") / F.col("n_valid") < 5), F.lit(False)).alias("low_expected_count"),
+        F.when(defined, F.sqrt(F.try_divide(F.col("chi2_stat"), F.col("n_valid") * (F.least("k_a", "k_b") - 1)))).otherwise(nan).alias("cramers_v"),
+        F.coalesce(defined & (F.try_divide(F.col("least_a") * F.col("least_b"), F.col("n_valid")) < 5), F.lit(False)).alias("low_expected_count"),
         "n_valid",
     )
 
@@ -51,9 +51,9 @@ def adjusted_rand(cells: DataFrame) -> DataFrame:
         margin = cells.groupBy(c).agg(F.sum("cnt").alias("m")).agg(F.coalesce(F.sum(choose("m")), F.lit(0)).cast("double").alias(f"in_{c}"))
         same = same.crossJoin(F.broadcast(margin))  # one row
     pairs = F.col("n_valid").cast("double") * (F.col("n_valid") - 1) / 2
-    chance = F.when(pairs > 0, F.col("in_a") * F.col("in_b") / pairs).otherwise(0.0)
+    chance = F.coalesce(F.try_divide(F.col("in_a") * F.col("in_b"), pairs), F.lit(0.0))
     top = (F.col("in_a") + F.col("in_b")) / 2
-    ari = F.when(F.col("n_valid") == 0, F.lit(float("nan"))).when(top == chance, 1.0).otherwise((F.col("both") - chance) / (top - chance))
+    ari = F.when(F.col("n_valid") == 0, F.lit(float("nan"))).when(top == chance, 1.0).otherwise(F.try_divide(F.col("both") - chance, top - chance))
     return same.select(ari.alias("ari"), "n_valid")
 
 
