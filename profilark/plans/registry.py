@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilark.functions.cluster import table
+from profilark.operators.ams import MarginalEntropyAms
 from profilark.operators.cardinality import DistinctCount, PopulationCardinality, TopK
 from profilark.operators.describe import Describe
 from profilark.operators.entropy import MarginalEntropy, PairwiseEntropy, ThreewayEntropy
@@ -16,7 +17,8 @@ from profilark.operators.integers import Delta, Gcd
 from profilark.operators.pairs import AdjustedRand, ChiSquared, contingency
 from profilark.operators.sequence import MinMaxIndex, RunsTest, SetIndex
 from profilark.operators.sets import Membership, Similarity
-from profilark.plans import predicates, storage
+from profilark.plans import predicates, recommend, storage
+from profilark.streaming.profile import StreamingProfiler
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -358,6 +360,49 @@ def paired_ratio_ci(spark, sf_dir):
     return rounded(storage.paired_ratio(samples, "a").drop("query"))
 
 
+WHOLE = {"lineitem": ["l_partkey", "l_linenumber"], "customer": ["c_custkey", "c_nationkey"], "labels": ["quality", "toxic"]}
+_NARROW = "CASE WHEN lo >= 0 AND hi <= 1 THEN 'bool' " + "".join(f"WHEN lo >= 0 AND hi < {1 << b} THEN 'uint{b}' WHEN lo < 0 AND lo >= -{1 << (b - 1)} AND hi < {1 << (b - 1)} THEN 'int{b}' " for b in (8, 16, 32)) + "WHEN lo >= 0 THEN 'uint64' ELSE 'int64' END"
+
+
+@query(f"SELECT col_a, lo, hi, {_NARROW} AS type FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS col_a, CAST(min({c}) AS BIGINT) AS lo, CAST(max({c}) AS BIGINT) AS hi FROM {t}" for t, cs in WHOLE.items() for c in cs) + ")")
+def narrow_integer(spark, sf_dir):
+    """The narrowest integer type of each column, by the recommender's rule on one row of extremes a column."""
+    rows = []
+    for t, columns in WHOLE.items():
+        ends = table(spark, sf_dir, t).agg(*(f(c).cast("bigint").alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max)))).first()
+        rows += [(c, ends[f"lo_{c}"], ends[f"hi_{c}"], recommend.integer_type(ends[f"lo_{c}"], ends[f"hi_{c}"])) for c in columns]
+    return spark.createDataFrame(rows, "col_a string, lo long, hi long, type string")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_unique, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM events" for c in ("event_id", "user_id", "event_type")))
+def stream_profile(spark, sf_dir):
+    """A profile merged from three batches in order of arrival."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    cut = events.agg(F.expr("percentile_approx(event_id, array(0.3, 0.7))")).first()[0]
+    p = StreamingProfiler(max_values=1 << 20)
+    for part in (events.where(F.col("event_id") <= cut[0]), events.where((F.col("event_id") > cut[0]) & (F.col("event_id") <= cut[1])), events.where(F.col("event_id") > cut[1])):
+        p.add(part, ["event_id"])
+    return p.result().select("column", "n_rows", "n_null", "n_unique", "min", "max")
+
+
+@query()
+def recommendations(spark, sf_dir):
+    """Types, store types and skip indexes of the events' columns."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    rec = recommend.OneShotRecommender(index_granularity=128, skip_granularities=(1, 4), set_max_sizes=(125,)).add(events, ["event_id"])
+    return rec.result().select("column", "dtype", "class", "nullable", "type", "store_type", "predicted_bytes", "skip_index")
+
+
+@query()
+def ams_entropy(spark, sf_dir):
+    return results(MarginalEntropyAms(), "events", table(spark, sf_dir, "events").select("event_id", *EVENTS), EVENTS, "h", "n_rows", order=["event_id"])
+
+
+@query("SELECT CAST(event_id // 1000 AS BIGINT) AS block, min(user_id) AS lo, max(user_id) AS hi, count(DISTINCT user_id) AS n_distinct, CAST(count_if(user_id IS NULL) AS BIGINT) AS n_null FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM events) GROUP BY 1")
+def block_statistics(spark, sf_dir):
+    return recommend.block_statistics(table(spark, sf_dir, "events"), "user_id", ["event_id"], 1000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
