@@ -8,8 +8,8 @@
 3. Each band bucket proposes its members against two pivots (a star, linear in the bucket).
    A pair's packed signatures are compared 16 values at a time; as soon as the posterior
    probability of the wanted similarity falls below ``miss`` the pair goes (BayesLSH-Lite).
-4. Survivors are verified on the full sets, the likeliest partners of a document first;
-   verified links contract to components, and pairs inside one component need no more work.
+4. Survivors are verified on the full sets in three rounds, the likeliest partners of a document
+   first; verified links contract to components, and pairs inside one need no more work.
 5. Buckets that still hold several components are compared across these components, so no
    link is lost to the choice of pivots.  Pairs are streamed through the signature test
    inside the join; only survivors are ever written.
@@ -38,6 +38,8 @@ from profilark.llm.graph import components
 PERMUTATIONS, ROWS = 128, 4
 BANDS = PERMUTATIONS // ROWS
 PACKED = PERMUTATIONS // 16
+#: How many of a document's likeliest partners are verified in each round; the last takes all that are left.
+WIDTHS = (1, 16, None)
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -220,28 +222,31 @@ class NearDuplicates:
         return materialize(texts.join(side, "id", "left_semi").mapInArrow(_sets(self.shingle), "id long, set array<long>").where(F.size("set") > 0), "sets")
 
     def _verify(self, pool: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """Links among the pool's pairs, tested likeliest first until none across two components is left."""
-        tested, width = None, 1
-        while True:
+        """Links that connect the pool's documents as all its links would, and the pairs tested for them."""
+        tested = None
+        for width in WIDTHS:
             rest = pool
             if links is not None:
-                comp = materialize(components(links), "comp")
+                # stars of the components found so far say the same as the links, and contract at once
+                links = materialize(components(links).where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")), "comp")
                 for side in ("a", "b"):
-                    rest = rest.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+                    rest = rest.join(links.select(F.col("b").alias(side), F.col("a").alias(f"c{side}")), side, "left")
                 rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "m")
             if tested is not None:
                 rest = rest.join(tested, ["a", "b"], "left_anti")
-            order = Window.partitionBy("b").orderBy(F.desc("m"), "a")
-            pick = materialize(rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= width).select("a", "b"), "pick")
+            if width is not None:
+                order = Window.partitionBy("b").orderBy(F.desc("m"), "a")
+                rest = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= width)
+            pick = materialize(rest.select("a", "b"), "pick")
             if pick.isEmpty():
-                return links, tested
+                break
             both = pick.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
             common = F.size(F.array_intersect("sa", "sb"))
             linked = both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
             new = materialize(linked, "links")
-            links = new if links is None else materialize(links.unionByName(new), "links")
-            tested = pick if tested is None else materialize(tested.unionByName(pick), "tested")
-            width *= 8
+            links = new if links is None else links.unionByName(new)
+            tested = pick if tested is None else tested.unionByName(pick)
+        return links, tested
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

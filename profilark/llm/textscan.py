@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; bounds the temporary arrays.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 
 _rng = np.random.default_rng(20240917)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,7 +120,7 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.n
         n = int(end[j - 1] - base)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        part = table[buf[base : base + n]]
+        part = table.take(buf[base : base + n])
         part *= _down[:n]
         np.cumsum(part, out=sums[1:])
         s = start[i:j] - base
@@ -135,7 +135,7 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.n
 def words(column: pa.Array, kind: np.ndarray = NON_SPACE, hashes: bool = True) -> Words:
     """The words of every text of the column; none spans two texts."""
     buf, text_ptr = buffers(column)
-    inside = kind[buf]
+    inside = kind.take(buf)
     edge = np.empty(len(buf) + 1, bool)
     if len(buf):
         edge[0] = edge[-1] = True
