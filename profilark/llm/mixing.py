@@ -67,11 +67,11 @@ class SourceMix:
         rows = rows.withColumn("spread", _spread(F.lit(self.seed), "id")).repartitionByRange("source", "size", "spread", "id")
         return materialize(rows.withColumn("pid", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ranged")
 
-    def _copies(self, ranged: DataFrame) -> DataFrame:
+    def _copies(self, ranged: DataFrame, *carry: str) -> DataFrame:
         goal = materialize(targets(ranged, self.weights, self.most), "targets")
         per = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
         goal = goal.withColumn("per", F.least(per, F.lit(self.most * UNIT))).withColumn("start", _spread(F.lit(self.seed), F.lit("offset"), "source") % UNIT)
-        rows = ranged.select("row", "pid", "id", "source", "size", "spread").alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "source_size", "target", "per", "start")
+        rows = ranged.select("row", "pid", "id", "source", "size", "spread", *carry).alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "source_size", "target", "per", "start")
         parts = rows.groupBy("pid", "source").agg(F.sum("per").alias("sum"))
         before = F.sum("sum").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
         parts = parts.select(F.col("pid").alias("p"), F.col("source").alias("s"), F.coalesce(before, F.lit(0)).alias("before"))
@@ -86,9 +86,20 @@ class SourceMix:
         return rows.select(F.col("id").alias(self.id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
     def run(self, docs: DataFrame, copy_col: str = "copy") -> DataFrame:
-        """The mix: the columns of ``docs``, once per copy, with the copy's number in ``copy_col``."""
-        kept = F.struct(*(docs[c] for c in docs.columns)).alias("kept")
-        ranged = self._ranged(docs, kept)
-        copies = self._copies(ranged).where("copies > 0").select("row", "copies")
-        out = ranged.select("row", "kept").join(copies, "row").select("kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+        """The mix: the columns of ``docs``, once per copy, with the copy's number in ``copy_col``.
+
+        Texts are shuffled once, by a hash of the row that spreads them evenly (the order by size would
+        gather the longest).  Equal rows are told apart by number; which of them gets which copies is all one.
+        """
+        mark = F.xxhash64(F.col(self.id_col), F.col(self.source_col).cast("string"), F.col(self.text_col).cast("string")).alias("mark")
+        # equal rows get at most ``most`` + 1 different numbers of copies: so many pairs of (copies, rows)
+        shares = self._copies(self._ranged(docs, mark), "mark").groupBy("mark", "copies").agg(F.count("*").alias("rows"))
+        shares = shares.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("copies", "rows"))).alias("shares"))
+        kept = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("kept"), mark)
+        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("mark")).cast("bigint")).join(shares, "mark")
+        own = F.aggregate(
+            "shares", F.struct(F.col("nth").alias("left"), F.lit(-1).cast("bigint").alias("copies")),
+            lambda s, x: F.struct((s["left"] - x["rows"]).alias("left"), F.when((s["copies"] < 0) & (s["left"] <= x["rows"]), x["copies"]).otherwise(s["copies"]).alias("copies")), lambda s: s["copies"],
+        )
+        out = kept.select("kept", own.alias("copies")).where("copies > 0").select("kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
         return out.select("kept.*", F.col("__copy").alias(copy_col))
