@@ -8,12 +8,12 @@ document id, or the same document and a smaller line number) has Jaccard similar
    fingerprints each line.  Lines equal word by word collapse: only the first goes on.
 2. A second pass orders each line's words by rarity (counter, then hash: a total order, so the
    join is exact however words share counters) and emits the prefix that two similar lines must
-   share a word of, without words that occur once.
+   share a word of (k words of a prefix k - 1 longer, where lines are long).
 3. Lines are joined on prefix words under the length bound, the positional bound and a bound from
-   128-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words whose
-   counter passes ``hot`` first propose every line to the earliest one only; lines so resolved
-   need no further partner, the others are then compared with all earlier ones.
-4. Candidates are verified on the full word sets of their lines.
+   64-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words in the
+   prefixes of more than ``hot`` lines first propose every line to the earliest one only; lines
+   so resolved need no further partner, the others are then compared with all earlier ones.
+4. Candidates are verified on the full word sets of their lines, the likeliest of each line first.
 
 Definitions.  Lines end at a line feed.  Lines of fewer than ``least_words`` words stay and remove
 nothing; lines without words always stay.  Null texts stay null; rows
@@ -37,6 +37,10 @@ from profilark.llm import textscan as ts
 BITS = 22
 SEGMENTS = 64
 WIDTH = (1 << BITS) // SEGMENTS
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
+#: One more shared prefix word is asked for with every so many words of a line, up to so many.
+WORDS_STEP, WORDS_MOST = 48, 4
 #: Rows of a side that may be broadcast (ids with a few line numbers each).
 BROADCAST_ROWS = 500_000
 
@@ -61,7 +65,7 @@ def _scan(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.uint32)
         for whole in batches:
-            for part in ts.slices(whole, "text"):
+            for part in ts.slices(whole, "text", SLICE):
                 w = ts.words(part.column(1))
                 if not len(w.hash):
                     continue
@@ -142,14 +146,19 @@ def _level(count: np.ndarray | int) -> np.ndarray:
     return np.where(count <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
 
 
+def shared_words(n: np.ndarray) -> np.ndarray:
+    """The words that two lines must share in their prefixes: more where the smaller one is long."""
+    return 1 + np.minimum(n // WORDS_STEP, WORDS_MOST - 1)
+
+
 def _prefixes(percent: int, least: int, hot: int, shared):
-    names = ["doc", "line", "n", "b0", "b1", "prefix", "warm"]
+    names = ["doc", "line", "n", "bits", "prefix", "warm"]
     limit = int(_level(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, np.uint8)
         for whole in batches:
-            for part in ts.slices(whole, "text"):
+            for part in ts.slices(whole, "text", SLICE):
                 w = ts.words(part.column(1))
                 if not len(w.hash):
                     continue
@@ -161,37 +170,30 @@ def _prefixes(percent: int, least: int, hot: int, shared):
                 number = line[at]
                 of = np.searchsorted(first, number, side="right") - 1
                 use = np.diff(np.append(at0, len(line0))) >= least  # as repeated words count
-                same = n - (n * percent + 99) // 100 + 1
+                # two sets that share so many words share k of them in prefixes that are k - 1 longer
+                same = np.minimum(n, n - (n * percent + 99) // 100 + shared_words(n))
                 skip = part.column(2)
                 if skip.null_count < len(skip):
                     gone, ptr = skip.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(x) if x.is_valid else 0 for x in skip]))
                     use &= ~np.isin(number, gone + first[np.repeat(np.arange(len(skip)), np.diff(ptr))])
                 place = np.arange(len(line)) - np.repeat(at, n)
                 taken = (place < np.repeat(np.where(use, same, 0), n)).nonzero()[0]
-                token = np.where(rank[taken] == 0, np.uint64(0), hashes[taken])
-                many = np.where(use, np.minimum(same, n), 0)
-                bit = np.uint64(1) << (hashes & np.uint64(63))
-                high = (hashes & np.uint64(64)) != 0
-                b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), at)
-                b1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), at)
-                live = np.zeros(len(n), bool)
-                some = np.flatnonzero(many)
-                if len(some):
-                    ends = np.cumsum(many)
-                    live[some] = np.add.reduceat(token != 0, (ends - many)[some]) > 0
-                keep = np.flatnonzero(live)
-                in_keep = np.repeat(live, many)
-                is_warm = (rank[taken] > limit)[in_keep]
-                token = token[in_keep]
+                token = hashes[taken]
+                many = np.where(use, same, 0)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), at)
+                keep = np.flatnonzero(many)
+                is_warm = rank[taken] > limit
+                row = np.repeat(np.arange(len(keep)), many[keep])
+                warm_ptr = np.append(0, np.cumsum(np.bincount(row[is_warm], minlength=len(keep)))).astype(np.int32)
                 ptr = np.append(0, np.cumsum(many[keep])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(of[keep])),
                         pa.array((number[keep] - first[of[keep]]).astype(np.int32)),
                         pa.array(n[keep].astype(np.int32)),
-                        pa.array(b0[keep].view(np.int64)),
-                        pa.array(b1[keep].view(np.int64)),
-                        *(pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.where(own, token, np.uint64(0)).view(np.int64))) for own in (~is_warm, is_warm)),
+                        pa.array(bits[keep].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ptr), pa.array(token.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(warm_ptr), pa.array(token[is_warm].view(np.int64))),
                     ],
                     names=names,
                 )
@@ -256,7 +258,7 @@ class LineDedup:
 
         copies = self._copies(scan.where("segment is null").select("doc", "line", "f1", "f2", "again"))
         gone = materialize(copies.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "copied")
-        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, self.hot, shared), "doc long, line int, n int, b0 long, b1 long, prefix array<long>, warm array<long>"), "prefixes")
+        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, self.hot, shared), "doc long, line int, n int, bits long, prefix array<long>, warm array<long>"), "prefixes")
         similar = self._similar(prefixes, texts)
         lines = gone.select("doc", F.explode("lines").alias("line")).unionByName(similar)
         return lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -284,42 +286,68 @@ class LineDedup:
         """(doc, line) of all but the first of equal lines."""
         own = lines.where("not again")
         classes = own.groupBy("f1", "f2").agg(F.min("doc").alias("d0"), F.count("*").alias("docs")).where("docs > 1")
-        salt = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
-        across = own.withColumn("salt", F.pmod("doc", F.lit(8)).cast("int")).join(classes.select("f1", "f2", "d0", salt), ["f1", "f2", "salt"]).where("doc != d0")
-        return lines.where("again").select("doc", "line").unionByName(across.select("doc", "line"))
+        classes = materialize(classes.select("f1", "f2", "d0"), "classes")
+        if classes.count() <= BROADCAST_ROWS:
+            across = own.join(F.broadcast(classes), ["f1", "f2"])
+        else:  # a hot class's lines meet its first document in 8 salted parts
+            salt = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
+            across = own.withColumn("salt", F.pmod("doc", F.lit(8)).cast("int")).join(classes.select("*", salt), ["f1", "f2", "salt"])
+        return lines.where("again").select("doc", "line").unionByName(across.where("doc != d0").select("doc", "line"))
 
     def _similar(self, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
         """(doc, line) of lines similar to an earlier one with another sequence of words."""
-        spread = lambda c: prefixes.select("doc", "line", "n", "b0", "b1", F.posexplode(c).alias("pos", "token")).where("token != 0")
-        # a word of the cold part is in ``hot`` lines at most, so no group or hash bucket of the join is large
-        cold = spread("prefix")
-        pairs = self._pairs(cold, cold.hint("shuffle_hash"))
-        warm = materialize(spread("warm"), "warm")
-        found = None
-        if not warm.isEmpty():
-            pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
-            stars = materialize(self._pairs(warm.join(pivot, ["token", "doc", "line"], "left_semi"), warm), "stars")
-            found = materialize(self._verified(stars, texts), "found")
-            open_ = warm.join(found, ["doc", "line"], "left_anti")
-            pairs = pairs.unionByName(self._pairs(warm, open_))
-        pairs = materialize(pairs.distinct(), "pairs")
-        rest = self._verified(pairs, texts)
-        return rest if found is None else rest.unionByName(found)
+        # size, words asked for and position share a column, as these rows are the bulk of what is shuffled
+        n = F.col("n").cast("long")
+        asked = F.least(1 + F.floor(n / WORDS_STEP), F.lit(WORDS_MOST)).cast("long")
+        place = F.shiftleft(n, 32) + F.shiftleft(asked, 28) + F.col("pos")
+        rows = prefixes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select("token", "doc", "line", place.alias("place"), "bits")
+        # only words whose counter is large can stand in many prefixes
+        hot = prefixes.select(F.explode("warm").alias("token")).groupBy("token").count().where(F.col("count") > self.hot)
+        hot = materialize(hot.select("token"), "hot")
+        some = hot.count()
+        if not some:
+            return self._resolved(self._shared(self._pairs(rows, rows)), texts)
+        hot = F.broadcast(hot) if some <= BROADCAST_ROWS else hot
+        warm = materialize(rows.join(hot, "token", "left_semi"), "warm")
+        rows = rows.join(hot, "token", "left_anti")
+        pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
+        stars = materialize(self._pairs(warm.join(pivot, ["token", "doc", "line"], "left_semi"), warm), "stars")
+        found = materialize(self._resolved(stars, texts), "found")
+        pairs = self._pairs(rows, rows).unionByName(self._pairs(warm, warm.join(found, ["doc", "line"], "left_anti")))
+        return found.unionByName(self._resolved(self._shared(pairs), texts))
+
+    def _shared(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that share as many prefix words as their shorter line asks for."""
+        counted = pairs.groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.count("*").alias("met"), F.min("apart").alias("apart"), F.min("asked").alias("asked"))
+        return materialize(counted.where("met >= asked").drop("met", "asked"), "pairs")
+
+    def _resolved(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """(doc, line) of later lines that are similar to one of their partners: the closest bitmap is
+        verified first, and the other partners only of lines that it leaves open."""
+        first = pairs.groupBy("b_doc", "b_line").agg(F.min_by(F.struct("a_doc", "a_line"), "apart").alias("a")).select("a.a_doc", "a.a_line", "b_doc", "b_line")
+        found = materialize(self._verified(materialize(first, "first"), texts), "found")
+        open_ = pairs.join(found.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line")), ["b_doc", "b_line"], "left_anti")
+        rest = materialize(open_.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "rest")
+        return found if rest.isEmpty() else found.unionByName(self._verified(rest, texts))
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line", "n", "b0", "b1", "pos")))
-        b = right.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line", "n", "b0", "b1", "pos")))
-        return a.join(b, "token").where(self._bounds()).select("a_doc", "a_line", "b_doc", "b_line").distinct()
+        a = left.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "bits")))
+        b = right.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "bits")))
+        return a.join(b, "token").where(self._bounds()).select("a_doc", "a_line", "b_doc", "b_line", F.expr("bit_count(a_bits ^ b_bits)").alias("apart"), F.expr(self._asked()).alias("asked"))
+
+    def _asked(self) -> str:
+        return "(least(a_place, b_place) >> 28 & 15)"
 
     def _bounds(self) -> Column:
-        p = self.percent
-        # least overlap: ceil(p (na + nb) / (100 + p))
-        need = F.expr(f"({p} * (a_n + b_n) + {99 + p}) div {100 + p}")
-        earlier = F.expr("a_doc < b_doc or (a_doc = b_doc and a_line < b_line)")
-        length = F.expr(f"a_n * 100 >= b_n * {p} and b_n * 100 >= a_n * {p}")
-        position = F.expr("1 + least(a_n - a_pos, b_n - b_pos) - 1") >= need
-        bitmap = F.expr("bit_count(a_b0 ^ b_b0) + bit_count(a_b1 ^ b_b1)") <= F.col("a_n") + F.col("b_n") - 2 * need
-        return earlier & length & position & bitmap
+        """With n words each, two similar lines share p (na + nb) / (100 + p) at least; the cheapest test first."""
+        p, na, nb = self.percent, "(a_place >> 32)", "(b_place >> 32)"
+        bitmap = f"bit_count(a_bits ^ b_bits) * {100 + p} <= ({na} + {nb}) * {100 - p}"
+        earlier = "(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
+        length = f"{na} * 100 >= {nb} * {p} and {nb} * 100 >= {na} * {p}"
+        # this word is one of the first that they share: so many may come before it, the rest after it
+        left = f"least({na} - (a_place & 268435455), {nb} - (b_place & 268435455))"
+        position = f"({left} + {self._asked()} - 1) * {100 + p} >= {p} * ({na} + {nb})"
+        return F.expr(f"{bitmap} and {earlier} and {length} and {position}")
 
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(doc, line) of the later line of each pair that is similar enough."""

@@ -91,7 +91,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ptr[0] : ptr[-1]], ptr - ptr[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about ``most`` bytes of text (a longer text alone)."""
     _, ptr = buffers(batch.column(batch.schema.get_field_index(column)))
     i = 0

@@ -49,3 +49,20 @@ def test_edges(spark):
     assert by[7, "g"][1] == "y" and by[8, "h"][4]
     assert by[9, "i"][3] == []  # {long, 0}, {long, 1}, {long, 2}
     assert LineDedup().run(df.limit(0)).count() == 0
+
+
+def test_long_lines_that_differ_in_rare_words(spark):
+    """Lines at the edge of the threshold whose unshared words are the rarest, so that prefixes barely meet."""
+    r = random.Random(9)
+    rows, common = [], [f"c{k}" for k in range(400)]
+    for d in range(90):
+        n = r.choice([47, 48, 60, 96, 97, 150, 200, 260])
+        base = common[:n] if d % 2 else r.sample(common, n)
+        for k in range(r.choice([0, 1, n // 12, n // 10, n // 9 + 1])):
+            base[k] = f"rare{d}x{k}"
+        rows.append((d, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.removed_lines(rows, 80)
+    assert 10 < len(want) < 60
+    for hot in (2, 256):
+        assert {x.doc: x.lines for x in LineDedup(hot=hot).removed(df).collect()} == want
