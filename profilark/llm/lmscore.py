@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 Every word is predicted from the two words on each side: log p(word | both sides) =
-log p(class | window) + log p(word | class).  The most frequent words are classes of their own;
-all others fall into classes by their last two bytes, with p(word | class) from the counts of the
-whole corpus (hashed into 2^20 counters).  The network embeds the four neighbours' classes, has one
+log p(class | window) + log p(word | class).  There are sqrt(distinct words) / 2 classes (at least
+``CLASSES``).  The most frequent words fill three quarters of them, each a class of its own; all
+others fall into the rest by their last two bytes, with p(word | class) from the exact counts of
+the whole corpus: the most frequent ``in_memory`` words are looked up, the others are joined.  The network embeds the four neighbours' classes, has one
 tanh layer and a softmax over classes.  A document's score is the sum of its words' conditional
 log-probabilities.
 
 Training.  Words are counted over all documents.  A start is fitted on the driver from a bounded
 sample (``warm_docs`` documents of at most ``warm_bytes``, by hash of the id); then every task
-trains on its part of *all* documents, masking one word in ``mask_every``, and the weights are
+trains on its part of *all* documents, masking one word in ``mask_every`` at a time until each word
+has been masked once, and the weights are
 averaged by the number of masked words (sixteen partial sums reach the driver, whatever the corpus).
 
 Definitions.  Words are lower-cased runs of anything but white space.  Null and wordless texts have
@@ -19,69 +21,99 @@ repeat; each row is scored by its own text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilark.functions.cluster import materialize, ship
 from profilark.llm import textscan as ts
 
-CLASSES, FREQUENT = 256, 191  # class 0 is beyond the text; 1..191 frequent words; the rest by ending
-TAIL = CLASSES - 1 - FREQUENT
+CLASSES = 256  # at least; class 0 is beyond the text, then come frequent words, then endings
 EMBED, HIDDEN = 16, 32
 SIDES = (-2, -1, 1, 2)
-BITS, SEGMENTS = 20, 64
-WIDTH = (1 << BITS) // SEGMENTS
-SHAPES = [(CLASSES, EMBED), (len(SIDES), EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+#: Cells of softmax output at a time.
+CELLS = 1 << 20
+
+
+def shapes(n: int) -> list[tuple[int, ...]]:
+    """Of the weights of a network over ``n`` classes."""
+    return [(n, EMBED), (len(SIDES), EMBED, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,)]
+
+
+def n_classes(distinct: int) -> int:
+    return max(CLASSES, math.isqrt(distinct) // 2)
 
 
 @dataclass
 class Vocabulary:
     frequent: np.ndarray  # sorted hashes
     place: np.ndarray  # their classes
-    counts: np.ndarray  # 2^20 hashed counts of the other words
+    words: np.ndarray  # sorted hashes of the next most frequent words
+    counts: np.ndarray  # their exact counts
     totals: np.ndarray  # words by class
+    own: int  # classes 1..own are kept for frequent words
 
+    @property
+    def n_classes(self) -> int:
+        return len(self.totals)
 
-def tail_class(w: ts.Words) -> np.ndarray:
-    """A class from the last two bytes of each word."""
+
+def ending(w: ts.Words) -> np.ndarray:
+    """A number from the last two bytes of each word."""
     last = ts.LOWER[w.buf[w.end - 1]].astype(np.int64) if len(w.start) else np.zeros(0, np.int64)
     before = np.where(w.end - w.start > 1, ts.LOWER[w.buf[np.maximum(w.end - 2, 0)]], 0) if len(w.start) else last
-    return 1 + FREQUENT + (last * 31 + before * 7) % TAIL
+    return last * 31 + before * 7
+
+
+def tail_class(end, own: int, n: int):
+    """The class of an ending among ``n`` classes (numbers, arrays or columns)."""
+    return end % (n - 1 - own) + (1 + own)
+
+
+def found(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand, and whether it does."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.searchsorted(sorted_, keys)
+    at[at == len(sorted_)] = 0
+    return at, sorted_[at] == keys
 
 
 def classes(v: Vocabulary, w: ts.Words) -> np.ndarray:
-    out = tail_class(w)
-    if len(v.frequent):
-        at = np.searchsorted(v.frequent, w.hash)
-        at[at == len(v.frequent)] = 0
-        hit = v.frequent[at] == w.hash
-        out[hit] = v.place[at[hit]]
+    out = tail_class(ending(w), v.own, v.n_classes)
+    at, hit = found(v.frequent, w.hash)
+    out[hit] = v.place[at[hit]]
     return out
 
 
 def within_class(v: Vocabulary, w: ts.Words, c: np.ndarray) -> np.ndarray:
-    """log p(word | class)."""
-    n = v.counts[(w.hash >> np.uint64(64 - BITS)).astype(np.int64)]
+    """log p(word | class), as of an unseen word for those that are not in memory."""
+    at, hit = found(v.words, w.hash)
+    n = np.zeros(len(c))
+    n[hit] = v.counts[at[hit]]
     share = np.log((n + 0.5) / (np.maximum(v.totals[c], n) + 1.0))
-    return np.where(c > FREQUENT, np.minimum(share, 0.0), 0.0)
+    return np.where(c > v.own, np.minimum(share, 0.0), 0.0)
 
 
 class Network:
     """Weights in one flat vector; ``parts`` are views of it."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
-        sizes = [int(np.prod(s)) for s in SHAPES]
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 3, classes: int = CLASSES):
+        if flat is not None:
+            classes = (len(flat) - len(SIDES) * EMBED * HIDDEN - HIDDEN) // (EMBED + HIDDEN + 1)
+        sizes = [int(np.prod(s)) for s in shapes(classes)]
         if flat is None:
             r = np.random.default_rng(seed)
             flat = np.concatenate([r.normal(0, scale, n) for n, scale in zip(sizes, (0.3, 0.3, 0.0, 0.1, 0.0))])
         self.flat = flat.astype(np.float32)
         ends = np.cumsum(sizes)
-        self.parts = [self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, SHAPES)]
+        self.parts = [self.flat[e - n : e].reshape(s) for e, n, s in zip(ends, sizes, shapes(classes))]
 
     def tables(self) -> np.ndarray:
         """The first layer's input from each class at each side."""
@@ -125,7 +157,7 @@ class Network:
             back = np.einsum("nh,seh->nse", d, first, optimize=True).reshape(-1, EMBED)
             flat = c.ravel()
             for k in range(EMBED):
-                g_embed[:, k] = np.bincount(flat, back[:, k], CLASSES)
+                g_embed[:, k] = np.bincount(flat, back[:, k], len(embed))
             state += grad * grad
             self.flat -= rate * grad / np.sqrt(state + 1e-8)
 
@@ -144,7 +176,7 @@ def windows(c: np.ndarray, ptr: np.ndarray, at: np.ndarray | None = None) -> np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, ending class, count), summed over a few megabytes of text at a time."""
+    """(word, ending, count), summed over a few megabytes of text at a time."""
     names = ["word", "tail", "n"]
 
     def flush(hashes, tails):
@@ -156,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(whole, "text"):
             w = ts.words(part.column(1))
             hashes.append(w.hash)
-            tails.append(tail_class(w))
+            tails.append(ending(w))
             held += len(w.hash)
             if held > 1 << 21:
                 yield flush(hashes, tails)
@@ -165,14 +197,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(hashes, tails)
 
 
-def _segment(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(WIDTH, np.float64)
-    for b in batches:
-        at = (b.column(b.schema.get_field_index("word")).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-        total += np.bincount(at & (WIDTH - 1), b.column(b.schema.get_field_index("n")).to_numpy(zero_copy_only=False), WIDTH)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["segment", "counts"])
-
-
 def _train(shared, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat, state = shared.value
@@ -181,11 +205,12 @@ def _train(shared, every: int):
             for part in ts.slices(whole, "text"):
                 w = ts.words(part.column(1))
                 c = classes(v, w)
-                # every text masks its own share, from an offset that its length gives
+                # every text masks its words in turn, from an offset that its length gives
                 own = np.arange(len(c)) - np.repeat(w.ptr[:-1], w.count) + np.repeat(w.count, w.count)
-                at = np.flatnonzero(own % every == 0)
-                net.train(windows(c, w.ptr, at), c[at], state)
-                used += len(at)
+                for k in range(every):
+                    at = np.flatnonzero(own % every == k)
+                    net.train(windows(c, w.ptr, at), c[at], state)
+                    used += len(at)
         if used:
             yield pa.RecordBatch.from_arrays([pa.array([used]), pa.array([(net.flat.astype(np.float64) * used).tobytes()], pa.binary())], names=["n", "weights"])
 
@@ -201,22 +226,31 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def _score(shared):
+def _score(shared, joined: bool):
+    """A row of each text, numbered; with ``joined`` its words that are not in memory, as often as they stand there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = shared.value
         net = Network(flat)
         tables = net.tables()
+        most, row = max(1, CELLS // v.n_classes), TaskContext.get().partitionId() << 40
         for whole in batches:
             for part in ts.slices(whole, "text"):
                 w = ts.words(part.column(1))
                 c = classes(v, w)
                 logs = within_class(v, w, c)
-                for i in range(0, len(c), 4096):
-                    at = np.arange(i, min(i + 4096, len(c)))
+                for i in range(0, len(c), most):
+                    at = np.arange(i, min(i + most, len(c)))
                     logs[at] += net.log_probability(windows(c, w.ptr, at), c[at], tables)
                 sums = np.append(0, np.cumsum(logs))
                 total = sums[w.ptr[1:]] - sums[w.ptr[:-1]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.count.astype(np.int64)), pa.array(np.round(total, 3))], names=["id", "n_words", "log_probability"])
+                out = [part.column(0), pa.array(w.count.astype(np.int64)), pa.array(total)]
+                if joined:
+                    beyond = ~found(v.words, w.hash)[1] & (c > v.own)
+                    ends = np.append(0, np.cumsum(beyond))[w.ptr]
+                    out += [pa.array(row + np.arange(len(w.count))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(w.hash[beyond].view(np.int64)))]
+                    row += len(w.count)
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n_words", "log_probability", "row", "beyond"][: len(out)])
 
     return run
 
@@ -224,9 +258,11 @@ def _score(shared):
 class WindowLM:
     """``fit`` on a corpus, then ``score`` documents."""
 
-    def __init__(self, id_col: str = "doc_id", text_col: str = "text", mask_every: int = 16, warm_docs: int = 300, warm_bytes: int = 50_000, warm_passes: int = 2):
+    def __init__(self, id_col: str = "doc_id", text_col: str = "text", mask_every: int = 16, warm_docs: int = 300, warm_bytes: int = 50_000, warm_passes: int = 2, in_memory: int = 1 << 18):
         self.id_col, self.text_col, self.mask_every, self.warm_docs, self.warm_bytes, self.warm_passes = id_col, text_col, mask_every, warm_docs, warm_bytes, warm_passes
+        self.in_memory = in_memory
         self.vocabulary: Vocabulary | None = None
+        self.beyond: DataFrame | None = None  # what each word that is not in memory adds to a score
         self.network: Network | None = None
 
     def _texts(self, docs: DataFrame) -> DataFrame:
@@ -238,22 +274,29 @@ class WindowLM:
         spark = docs.sparkSession
         counts = texts.mapInArrow(_count, "word long, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
         counts = materialize(counts, "words")
-        top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-        frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-        totals = np.zeros(CLASSES)
+        distinct = counts.count()
+        n = n_classes(distinct)
+        own = (n - 1) * 3 // 4
+        top = counts.orderBy(F.desc("n"), "word").limit(own + self.in_memory).toArrow()
+        word, tail, times = (top.column(k).to_numpy() for k in ("word", "tail", "n"))
+        frequent = word[:own].view(np.uint64)
+        totals = np.zeros(n)
         for r in counts.groupBy("tail").agg(F.sum("n").alias("n")).collect():
-            totals[r["tail"]] = r["n"]
-        for k, r in enumerate(top):
-            totals[r["tail"]] -= r["n"]
-            totals[1 + k] = r["n"]
+            totals[tail_class(r["tail"], own, n)] += r["n"]
+        np.subtract.at(totals, tail_class(tail[:own].astype(np.int64), own, n), times[:own])
+        totals[1 : 1 + len(frequent)] = times[:own]
         order = np.argsort(frequent)
-        table = np.zeros(1 << BITS, np.float32)
-        segment = F.shiftrightunsigned("word", 64 - SEGMENTS.bit_length() + 1).cast("int").alias("segment")
-        rare = counts.select("word", "n", segment)
-        for r in rare.groupBy("segment").applyInArrow(_segment, "segment int, counts binary").collect():
-            table[r["segment"] * WIDTH : (r["segment"] + 1) * WIDTH] = np.frombuffer(r["counts"], np.float32)
-        v = self.vocabulary = Vocabulary(frequent[order], (order + 1).astype(np.int64), table, totals)
-        net, state = Network(), np.zeros(sum(int(np.prod(s)) for s in SHAPES), np.float32)
+        words = word[own:].view(np.uint64)
+        known = np.argsort(words)
+        v = self.vocabulary = Vocabulary(frequent[order], (order + 1).astype(np.int64), words[known], times[own:][known].astype(np.float64), totals, own)
+        self.beyond = None
+        if distinct > len(word):
+            least = int(times[-1])
+            rest = counts.where((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > int(word[-1])))
+            rest = rest.withColumn("class", tail_class(F.col("tail"), own, n)).join(F.broadcast(spark.createDataFrame(list(enumerate(totals.tolist())), "class int, total double")), "class")
+            share = lambda k: F.log((k + F.lit(0.5)) / (F.greatest(F.col("total"), k) + 1.0))
+            self.beyond = rest.select("word", F.round((F.least(share(F.col("n").cast("double")), F.lit(0.0)) - share(F.lit(0.0))) * 1e6).cast("long").alias("more"))
+        net, state = Network(classes=n), np.zeros(sum(int(np.prod(s)) for s in shapes(n)), np.float32)
         self._warm(texts, v, net, state)
         shared = spark.sparkContext.broadcast((v, net.flat, state))
         trained = texts.mapInArrow(_train(shared, self.mask_every), "n long, weights binary").withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16)))
@@ -284,6 +327,14 @@ class WindowLM:
         texts = self._texts(docs)
         shared = docs.sparkSession.sparkContext.broadcast((self.vocabulary, self.network.flat))
         kind = texts.schema["id"].dataType.simpleString()
-        out = texts.mapInArrow(_score(shared), f"id {kind}, n_words long, log_probability double")
+        columns = f"id {kind}, n_words long, log_probability double"
+        if self.beyond is None:
+            out = texts.mapInArrow(_score(shared, False), columns)
+        else:
+            # written first: row numbers must not change between the two reads
+            out = materialize(texts.mapInArrow(_score(shared, True), columns + ", row long, beyond array<long>"), "scores")
+            more = out.select("row", F.explode("beyond").alias("word")).join(self.beyond, "word").groupBy("row").agg(F.sum("more").alias("more"))
+            out = out.drop("beyond").join(more, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce(F.col("more"), F.lit(0)) / 1e6)
+        out = out.withColumn("log_probability", F.round("log_probability", 3))
         mean = F.when(F.col("n_words") > 0, F.round(F.col("log_probability") / F.col("n_words"), 4))
         return out.select(F.col("id").alias(self.id_col), "n_words", "log_probability", mean.alias("mean_log_probability"))

@@ -67,3 +67,48 @@ def test_edges(spark, model):
     assert model.score(df.limit(0)).count() == 0
     empty = lmscore.WindowLM().fit(df.limit(0))
     assert empty.score(df).count() == len(rows)
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_every_word_is_a_training_target_once(model):
+    texts = ["one", "two short words", "the of and " * 40, "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    flat = model.network.flat
+    got = list(lmscore._train(Shared((model.vocabulary, flat, np.zeros_like(flat))), 16)([batch]))
+    assert sum(b.column(0)[0].as_py() for b in got) == 1 + 3 + 120
+
+
+def test_words_out_of_memory_are_joined_by_exact_count(spark, small, model):
+    docs = table(spark, small, "documents").limit(200)
+    tight = lmscore.WindowLM(warm_docs=100, warm_passes=1, in_memory=100).fit(table(spark, small, "documents"))
+    tight.network = model.network
+    assert model.beyond is None and tight.beyond is not None and len(tight.vocabulary.words) == 100
+    want = sorted((r.doc_id, r.n_words, r.log_probability) for r in model.score(docs).collect())
+    got = sorted((r.doc_id, r.n_words, r.log_probability) for r in tight.score(docs).collect())
+    assert [g[:2] for g in got] == [x[:2] for x in want] and np.allclose([g[2] for g in got], [x[2] for x in want], atol=0.05)
+
+
+def test_counts_are_exact_and_classes_follow_the_vocabulary(spark, small, model):
+    v = model.vocabulary
+    words = table(spark, small, "documents").selectExpr("explode(filter(split(lower(text), '[ \\t-\\r]+'), x -> x <> '')) AS w").groupBy("w").count().collect()
+    by = {r.w: r["count"] for r in words if r.w.isascii()}
+    some = sorted(by)[:: max(1, len(by) // 500)]
+    w = ts.words(pa.array([" ".join(some)]))
+    c = lmscore.classes(v, w)
+    at, hit = lmscore.found(v.words, w.hash)
+    assert all(hit[k] and v.counts[at[k]] == by[x] for k, x in enumerate(some) if c[k] > v.own)
+    assert v.totals.sum() == sum(r["count"] for r in words)
+    assert lmscore.n_classes(4_000_000) == 1000 and lmscore.n_classes(100) == lmscore.CLASSES
+
+
+def test_prose_scores_well_above_shuffled_words(spark, small, model):
+    texts = [r.text for r in table(spark, small, "documents").where("lang = 'en' and length(text) between 400 and 4000").orderBy("doc_id").limit(60).collect()]
+    r = random.Random(2)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, " ".join(r.sample(t.split(), len(t.split())))) for k, t in enumerate(texts)]
+    got = {x.doc_id: x.mean_log_probability for x in model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("better", sum(got[k] > got[1000 + k] for k in range(60)))
+    assert sum(got[k] > got[1000 + k] for k in range(60)) >= 48
