@@ -56,3 +56,51 @@ def test_bounds_never_drop_a_match():
         for n in range(1, 120):
             if 200 * min(n, m) >= 80 * (n + m):
                 assert low <= n <= high
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+CONDITIONS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{0}
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{0}
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+CLAUSE = """{0}
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_standard_licence_files(spark):
+    head = "Copyright (c) 2020, Some One\n\n"
+    spaced, tight = (lambda x: x.format("")), (lambda x: x.replace("{0}\n", ""))
+    texts = ["MIT License\n\n" + head + GRANT, head + spaced(CONDITIONS + CLAUSE), head + tight(CONDITIONS + CLAUSE), head + spaced(CONDITIONS), head + tight(CONDITIONS)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = licenses.LicenseScan(percent=80)
+    got = {}
+    for r in scan.run(df).collect():
+        if r.unit == "paragraph":
+            got.setdefault(r.doc_id, []).append((r.number, r.license))
+    got = {k: [x for _, x in sorted(v)] for k, v in got.items()}
+    assert got == {0: ["MIT"] * 3, 1: ["BSD", "BSD", "BSD", "BSD-3-Clause"], 2: ["BSD-3-Clause"], 3: ["BSD"] * 3, 4: ["BSD-2-Clause"]}
