@@ -360,6 +360,22 @@ def paired_ratio_ci(spark, sf_dir):
     return rounded(storage.paired_ratio(samples, "a").drop("query"))
 
 
+@query()
+def pareto_frontier_whole(spark, sf_dir):
+    """The front of the unfolded ids of every event."""
+    points = table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), F.col("event_id").alias("x"), F.col("user_id").alias("y")).distinct()
+    return storage.pareto(points, "k", "x", "y")
+
+
+@query()
+def paired_ratio_ci_whole(spark, sf_dir):
+    """Every event is a sample: three consecutive ids make a round."""
+    e = table(spark, sf_dir, "events")
+    turn = F.col("event_id") % 3
+    samples = e.select(F.expr("event_id div 3").alias("round"), F.when(turn == 0, "a").when(turn == 1, "b").otherwise("c").alias("variant"), F.lit("q").alias("query"), (1 + F.col("event_id") % 7 + turn / 4).alias("seconds"))
+    return rounded(storage.paired_ratio(samples, "a").drop("query"))
+
+
 WHOLE = {"lineitem": ["l_partkey", "l_linenumber"], "customer": ["c_custkey", "c_nationkey"], "labels": ["quality", "toxic"]}
 _NARROW = "CASE WHEN lo >= 0 AND hi <= 1 THEN 'bool' " + "".join(f"WHEN lo >= 0 AND hi < {1 << b} THEN 'uint{b}' WHEN lo < 0 AND lo >= -{1 << (b - 1)} AND hi < {1 << (b - 1)} THEN 'int{b}' " for b in (8, 16, 32)) + "WHEN lo >= 0 THEN 'uint64' ELSE 'int64' END"
 

@@ -106,6 +106,12 @@ def rounds(frames: dict[str, DataFrame], queries: list[predicates.Query], n: int
 def median_interval(n: int, confidence: float = 0.95) -> tuple[int, int] | None:
     """Ranks (from 0) of the order statistics that enclose the median; None where n is too small."""
     tail, k, total = (1 - confidence) / 2, 0, 0.0
+    if n > 500:  # log-probabilities, from where the tail is still nothing
+        k = max(0, n // 2 - math.isqrt(100 * n))
+        chance = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2))
+        while k < n // 2 and total + (p := chance(k)) <= tail:
+            total, k = total + p, k + 1
+        return k - 1, n - k
     while k < n // 2 and total + math.comb(n, k) / 2**n <= tail:
         total += math.comb(n, k) / 2**n
         k += 1
@@ -120,7 +126,7 @@ def paired_ratio(samples: DataFrame, baseline: str, confidence: float = 0.95) ->
     base = samples.where(F.col("variant") == baseline).select("round", "query", F.col("seconds").alias("base"))
     ratios = samples.where(F.col("variant") != baseline).join(base, ["round", "query"]).withColumn("r", F.col("seconds") / F.col("base"))
     lists = ratios.groupBy("variant", "query").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("r")).alias("r"), F.median("r").alias("ratio"))
-    spans = [(n, *span) for n in range(1, 501) if (span := median_interval(n, confidence))]
+    spans = [(r["n"], *span) for r in lists.select("n").distinct().collect() if (span := median_interval(r["n"], confidence))]
     known = F.broadcast(samples.sparkSession.createDataFrame(spans, "n long, lo int, hi int"))
     return lists.join(known, "n", "left").select("variant", "query", "n", "ratio", F.get("r", F.col("lo")).alias("low"), F.get("r", F.col("hi")).alias("high"))
 

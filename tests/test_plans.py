@@ -191,3 +191,42 @@ def test_ordinals(spark):
     df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k").repartition(6)
     got = with_ordinal(df, ["k"]).collect()
     assert all(r["k"] == r["__ord"] for r in got) and len(got) == 1000
+
+
+def test_whole_event_queries_against_brute_force(spark, tiny):
+    import statistics
+
+    from profilark.plans import registry
+
+    rows = spark.read.parquet(f"{tiny}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    points = {(r.event_type, r.event_id, r.user_id) for r in rows}
+    by = {}
+    for k, x, y in points:
+        by.setdefault(k, []).append((x, y))
+    want, least = set(), None
+    for k, own in by.items():
+        least = None
+        for x, y in sorted(own):
+            if least is None or y < least:
+                want.add((k, x, y))
+                least = y
+    assert {tuple(r) for r in registry.queries()["pareto_frontier_whole"](spark, tiny).select("k", "x", "y").collect()} == want
+    seconds = {r.event_id: 1 + r.event_id % 7 + r.event_id % 3 / 4 for r in rows}
+    got = {r.variant: r for r in registry.queries()["paired_ratio_ci_whole"](spark, tiny).collect()}
+    for turn, variant in ((1, "b"), (2, "c")):
+        ratios = sorted(seconds[i] / seconds[i - turn] for i in seconds if i % 3 == turn and i - turn in seconds)
+        assert got[variant].n == len(ratios) and abs(got[variant].ratio - statistics.median(ratios)) < 1e-6
+        lo, hi = storage.median_interval(len(ratios), 0.95)
+        assert abs(got[variant].low - ratios[lo]) < 1e-6 and abs(got[variant].high - ratios[hi]) < 1e-6
+
+
+def test_median_interval_of_many_rounds_goes_on_from_few():
+    import math
+
+    for n in (501, 800):
+        k, total = 0, 0.0
+        while total + math.comb(n, k) / 2**n <= 0.025:
+            total += math.comb(n, k) / 2**n
+            k += 1
+        assert storage.median_interval(n) == (k - 1, n - k)
+    assert storage.median_interval(10**8)[0] > 10**8 // 2 - 10**4
