@@ -138,6 +138,9 @@ class StreamingProfiler:
         out = []
         for c, dtype in self.types.items():
             own = self.state.get(c)
+            if own is None and isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+                out.append((c, dtype.simpleString(), self.first_row[c], self.n_rows, None, None, None, None, None, None, "not computed", None, None, None, sampled["rows"], sampled["blocks"]))
+                continue
             if own is None:
                 out.append((c, dtype.simpleString(), self.first_row[c], self.n_rows, self.n_rows, 0, None, None, None, None, "null", None, None, None, sampled["rows"], sampled["blocks"]))
                 continue

@@ -230,3 +230,9 @@ def test_median_interval_of_many_rounds_goes_on_from_few():
             k += 1
         assert storage.median_interval(n) == (k - 1, n - k)
     assert storage.median_interval(10**8)[0] > 10**8 // 2 - 10**4
+
+
+def test_nested_stream_columns_are_not_computed(spark):
+    df = spark.createDataFrame([(1, [1, 2], {"a": 1}), (2, [3], {"b": 2})], "i long, l array<long>, m map<string,long>")
+    got = {r["column"]: (r.n_rows, r.n_null, r.type) for r in StreamingProfiler().add(df, ["i"]).result().collect()}
+    assert got["l"] == got["m"] == (2, None, "not computed") and got["i"][1] == 0
