@@ -1,6 +1,8 @@
 """Secrets in texts: a random forest removes false positives; DataFrame functions only.
 
-Candidates are the longest runs of ``[A-Za-z0-9_+/=-]`` of 16 characters or more.  Each is described
+Candidates are the longest runs of ``[A-Za-z0-9_+/-]`` of 16 characters or more (with up to two ``=``
+of padding), and after an assignment to a secret word quoted values of 6 to 128 characters of any kind but
+white space and unquoted ones of 8 or more.  Each is described
 by its length, its character transitions (class changes, and how English its letter pairs are),
 dictionary coverage, shape, the path of its text and the words beside it.  A random forest is grown in
 numpy on the labelled findings below (a fixed table that goes through the same SQL features), written
@@ -21,10 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}"
 SECRET_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|pass|api_?key|apikey|key|auth|authorization|bearer|credentials?|private|access|signature|client_?secret|aws|webhook"
 OTHER_WORDS = "sha(?:1|256|512)?|commit|hash|md5|checksum|digest|uuid|guid|example|integrity|image|revision|version|etag|file|path|class|function|import|package|href|src|isbn|serial|build|branch|url"
 PREFIXES = "AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|npm_|dop_v1_|eyJ"
+_NAMED = rf"(?i:{SECRET_WORDS})"
+RUN = (
+    # a value in quotes, then a bare one, each assigned to a secret word
+    rf"(?<=[\"'`])(?<={_NAMED}[\"'`]?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"'`])[^\s\"'`]{{6,128}}(?=[\"'`])"
+    rf"|(?<==)(?<={_NAMED}=)[^\s\"'`&;,<>(){{}}\[\]]{{8,}}"
+    r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+)
 #: Words and stems of at least three letters; longer ones first, as the first that fits is taken.
 DICTIONARY = sorted(
     set(
@@ -108,7 +116,27 @@ def findings(seed: int = 7, each: int = 40) -> list[tuple[str, str, str, str, in
             ("x" * r.randint(16, 40), f"{name}{sep}", f"{close}", r.choice(plain), 0),
             ("your_" + "_".join(r.sample(words, 2)) + "_here", f"{name}{sep}", f"{close}", r.choice(plain), 0),
         ]
-    return [row for row in out if len(row[0]) >= 16]
+    # assignments without quotes, and short values; drawn apart from the rows above
+    s = random.Random(seed + 1000)
+    draw = lambda chars, n: "".join(s.choice(chars) for _ in range(n))
+    text = lambda: " ".join(s.choice(words) for _ in range(4))
+    short = []
+    for _ in range(each):
+        name, marks = s.choice(names), string.ascii_letters + string.digits + "!$%&*@#?"
+        short += [
+            (s.choice(["ghp_", "gho_", "glpat-", "sk_live_", "xoxb-", "npm_"]) + draw(alnum, 36), f"{text()}\n{name}=", f"\n{text()}", s.choice(paths), 1),
+            (draw(hexa, s.choice([32, 40, 64])), f"{text()}{s.choice('?&')}access_token=", f"{s.choice(['&', ' '])}{text()}", s.choice(paths), 1),
+            (draw(alnum, s.randint(16, 40)), f"\n{name}=", "\n", s.choice(paths), 1),
+            (draw(marks, s.randint(8, 15)), f"{text()} {name}{s.choice([' = ', '=', ': '])}\"", f'" {text()}', s.choice(paths), 1),
+            (draw(marks.replace("&", ""), s.randint(8, 15)), f"\n{name}=", f"\n{text()}", s.choice(paths), 1),
+            ("".join(s.sample(words, 2))[:15], f'{text()} {name} = "', f'" {text()}', s.choice(plain), 0),
+            ("_".join(s.sample(words, 2)), f"\n{name}=", f"\n{text()}", s.choice(plain), 0),
+            (syllable().upper(), f"{text()} ", f" {text()}", s.choice(plain), 0),
+            ("_".join(s.sample(words, 3)).upper(), s.choice(["\n", f"{text()} "]), s.choice(["", "=1", " = "]), s.choice(paths), 0),
+            (s.choice(["*", "x", "."]) * s.randint(8, 15), f'{name} = "', '"', s.choice(plain), 0),
+            (draw(hexa, s.choice([40, 64])), f"{s.choice(['commit', 'sha256', 'checksum', 'etag'])}=", f" {text()}", s.choice(plain), 0),
+        ]
+    return [row for row in out if len(row[0]) >= 16] + [row for row in short if len(row[0]) >= 8]
 
 
 class Forest:
@@ -185,7 +213,9 @@ class SecretScan:
         rows = docs.select(F.col(self.id_col).alias("id"), F.coalesce(F.col(self.path_col).cast("string"), F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("found"), between.alias("between"))
         rows = rows.where(F.size("found") > 0)
         start = F.transform(F.slice("between", F.lit(2), F.size("found")), lambda p: p["start"])
-        zipped = F.arrays_zip(F.col("found"), F.transform("between", lambda p: p["end"]).alias("ends"), start.alias("starts"))
+        # a candidate just before this one is part of the text before it: it may be its name
+        ends = F.transform("between", lambda p, i: F.when(i > 0, F.right(F.concat(F.get("found", i - 1), p["end"]), F.lit(96))).otherwise(p["end"]))
+        zipped = F.arrays_zip(F.col("found"), ends.alias("ends"), start.alias("starts"))
         rows = rows.select("id", "path", F.posexplode(zipped).alias("number", "z")).where("z.found is not null")
         return rows.select("id", "number", F.col("z.found").alias("value"), F.col("z.ends").alias("before"), F.col("z.starts").alias("after"), "path")
 

@@ -104,3 +104,11 @@ def test_standard_licence_files(spark):
             got.setdefault(r.doc_id, []).append((r.number, r.license))
     got = {k: [x for _, x in sorted(v)] for k, v in got.items()}
     assert got == {0: ["MIT"] * 3, 1: ["BSD", "BSD", "BSD", "BSD-3-Clause"], 2: ["BSD-3-Clause"], 3: ["BSD"] * 3, 4: ["BSD-2-Clause"]}
+
+
+def test_unquoted_and_short_secrets(spark):
+    key, pat = "0f3a9b1c77e2d4a6850f3a9b1c77e2d4a685beef", "ghp_Zk3vQ9xT1bN7mR5wY2cL8dF6hJ4pS0aGuE1i"
+    rows = [(1, f"run it\nAPI_KEY={pat}\nnext"), (2, f"GET /v1/items?access_token={key}&page=2"), (3, 'set password = "Tr0ub4dor&3x" now'), (4, f"\nMY_LONG_SERVICE_ACCESS_TOKEN={pat}\n")]
+    df = spark.createDataFrame([(i, t, ".env") for i, t in rows], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.value) for r in secrets.SecretScan().run(df).collect())
+    assert got == [(1, pat), (2, key), (3, "Tr0ub4dor&3x"), (4, pat)]
