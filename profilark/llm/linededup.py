@@ -12,18 +12,21 @@ document id, or the same document and a smaller line number) has Jaccard similar
 3. Lines are joined on prefix words under the length bound, the positional bound and a bound from
    64-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words in the
    prefixes of more than ``hot`` lines first propose every line to the earliest one only; lines
-   so resolved need no further partner, the others are then compared with all earlier ones.
+   so resolved need no further partner.  The others are compared with earlier ones of their own
+   and the neighbouring bands of length, a hot word's lines in salted parts.
 4. Candidates are verified on the full word sets of their lines, the likeliest of each line first.
 
 Definitions.  Lines end at a line feed.  Lines of fewer than ``least_words`` words stay and remove
 nothing; lines without words always stay.  Null texts stay null; rows
-with a null id are kept as they are and remove nothing.  Rows that share an id keep
-the lines that they have in common.  A document all of whose lines with
-words go has an empty text and ``emptied`` true.  Other columns are kept.
+with a null id are kept as they are and remove nothing.  Rows that share an id and differ in text
+are documents of their own, ordered by a 64-bit hash of the text; rows equal in both are one
+document and keep the same lines.  A document all of whose lines with words go has an empty text
+and ``emptied`` true.  Other columns are kept; one named as an added column gets ``_`` behind it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilark.functions.cluster import materialize, ship
+from profilark.functions.cluster import discard, materialize, ship, small
 from profilark.llm import textscan as ts
+from profilark.llm.columns import carried, keyed, named, row_key
 
 BITS = 22
 SEGMENTS = 64
@@ -41,8 +45,8 @@ WIDTH = (1 << BITS) // SEGMENTS
 SLICE = 1 << 19
 #: One more shared prefix word is asked for with every so many words of a line, up to so many.
 WORDS_STEP, WORDS_MOST = 48, 4
-#: Rows of a side that may be broadcast (ids with a few line numbers each).
-BROADCAST_ROWS = 500_000
+#: A hot word's lines are compared in 1 + sqrt(lines / this) salted parts.
+PART = 1 << 12
 
 
 def _lines(w: ts.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +64,12 @@ def _starts(key: np.ndarray) -> np.ndarray:
 
 def _scan(least: int):
     names = ["doc", "line", "f1", "f2", "again", "segment", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.uint32)
+        counts, kind = np.zeros(1 << BITS, np.uint32), pa.int64()
         for whole in batches:
+            kind = whole.schema.field(0).type
             for part in ts.slices(whole, "text", SLICE):
                 w = ts.words(part.column(1))
                 if not len(w.hash):
@@ -91,7 +96,7 @@ def _scan(least: int):
             own = counts[k * WIDTH : (k + 1) * WIDTH]
             if own.any():
                 data = _sparse(own)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1).cast(t) for t in kinds[:5]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (kind, *kinds)), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
 
     return run
 
@@ -244,11 +249,19 @@ class LineDedup:
             raise ValueError("percent: 50 to 100; hot: 2 at least")
         self.percent, self.hot, self.least_words, self.id_col, self.text_col = percent, hot, least_words, id_col, text_col
 
+    def _keyed(self, docs: DataFrame) -> DataFrame:
+        texts = docs.select(named(self.id_col).cast("long").alias("doc"), named(self.text_col).cast("string").alias("text"))
+        return keyed(texts.where("doc is not null and text is not null"), "doc")
+
     def removed(self, docs: DataFrame) -> DataFrame:
-        """``doc, lines`` (sorted numbers from 0) of every document that loses lines."""
+        """``doc, lines`` (sorted numbers from 0) of every document that loses lines.
+
+        ``doc`` is the id; where an id stands on several rows, it is a struct of id and text hash.
+        """
         ship(docs.sparkSession)
-        texts = docs.select(F.col(self.id_col).cast("long").alias("doc"), F.col(self.text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-        scan = materialize(texts.mapInArrow(_scan(self.least_words), "doc long, line int, f1 long, f2 long, again boolean, segment int, counts binary"), "lines")
+        texts = self._keyed(docs)
+        kind = texts.schema["doc"].dataType.simpleString()
+        scan = materialize(texts.mapInArrow(_scan(self.least_words), f"doc {kind}, line int, f1 long, f2 long, again boolean, segment int, counts binary"), "lines")
         level = bytearray(1 << BITS)
         counts = scan.where("segment is not null").select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
         counts = counts.groupBy("segment", "salt").applyInArrow(_add, "segment int, counts binary")
@@ -258,40 +271,48 @@ class LineDedup:
 
         copies = self._copies(scan.where("segment is null").select("doc", "line", "f1", "f2", "again"))
         gone = materialize(copies.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "copied")
-        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, self.hot, shared), "doc long, line int, n int, bits long, prefix array<long>, warm array<long>"), "prefixes")
-        similar = self._similar(prefixes, texts)
+        discard(scan)
+        prefixes = materialize(self._with(texts, gone, "left").mapInArrow(_prefixes(self.percent, self.least_words, self.hot, shared), f"doc {kind}, line int, n int, bits long, prefix array<long>, warm array<long>"), "prefixes")
+        similar = materialize(self._similar(prefixes, texts), "similar")
+        discard(prefixes)
         lines = gone.select("doc", F.explode("lines").alias("line")).unionByName(similar)
         return lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
     def run(self, docs: DataFrame, removed_col: str | None = "removed_lines", emptied_col: str | None = "emptied") -> DataFrame:
         """The documents with the remaining lines as text, the removed line numbers and whether nothing is left."""
         gone = materialize(self.removed(docs), "removed")
-        others = [c for c in docs.columns if c != self.text_col]
-        kept = docs.select(F.struct(*(docs[c] for c in others)).alias("kept"), F.col(self.text_col).cast("string").alias("text"), F.col(self.id_col).cast("long").alias("doc"))
+        added = [c for c in (removed_col, emptied_col) if c]
+        columns = carried(docs.columns, added)
+        names = docs.select(*columns).columns
+        at = docs.columns.index(self.text_col)
+        key = named(self.id_col).cast("long").alias("doc")
+        kept = docs.select(F.struct(*(c for k, c in enumerate(columns) if k != at)).alias("kept"), named(self.text_col).cast("string").alias("text"), key)
+        if "struct" in gone.schema["doc"].dataType.simpleString():
+            kept = kept.withColumn("doc", row_key("doc"))
         kept = self._with(kept, gone, "left").select("kept", "text", "lines")
         out = kept.mapInArrow(_rewrite, f"kept {kept.schema['kept'].dataType.simpleString()}, text string, lines array<int>, emptied boolean")
-        columns = [F.col("text") if c == self.text_col else F.col("kept")[c].alias(c) for c in docs.columns]
-        columns = [c.alias(self.text_col) if name == self.text_col else c for c, name in zip(columns, docs.columns)]
+        own = [F.col("text").alias(c) if k == at else F.col("kept")[c].alias(c) for k, c in enumerate(names)]
         if removed_col:
-            columns.append(F.coalesce("lines", F.array().cast("array<int>")).alias(removed_col))
+            own.append(F.coalesce("lines", F.array().cast("array<int>")).alias(removed_col))
         if emptied_col:
-            columns.append(F.col("emptied").alias(emptied_col))
-        return out.select(*columns)
+            own.append(F.col("emptied").alias(emptied_col))
+        return out.select(*own)
 
     def _with(self, rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        """Join on doc; the side is broadcast where a count proves it small."""
-        return rows.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, "doc", how)
+        """Join on doc; the side is broadcast where its bytes prove it small."""
+        return rows.join(small(side), "doc", how)
 
     def _copies(self, lines: DataFrame) -> DataFrame:
         """(doc, line) of all but the first of equal lines."""
         own = lines.where("not again")
         classes = own.groupBy("f1", "f2").agg(F.min("doc").alias("d0"), F.count("*").alias("docs")).where("docs > 1")
         classes = materialize(classes.select("f1", "f2", "d0"), "classes")
-        if classes.count() <= BROADCAST_ROWS:
-            across = own.join(F.broadcast(classes), ["f1", "f2"])
+        near = small(classes)
+        if near is not classes:
+            across = own.join(near, ["f1", "f2"])
         else:  # a hot class's lines meet its first document in 8 salted parts
             salt = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
-            across = own.withColumn("salt", F.pmod("doc", F.lit(8)).cast("int")).join(classes.select("*", salt), ["f1", "f2", "salt"])
+            across = own.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(8)).cast("int")).join(classes.select("*", salt), ["f1", "f2", "salt"])
         return lines.where("again").select("doc", "line").unionByName(across.where("doc != d0").select("doc", "line"))
 
     def _similar(self, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -303,18 +324,32 @@ class LineDedup:
         rows = prefixes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token")).select("token", "doc", "line", place.alias("place"), "bits")
         # only words whose counter is large can stand in many prefixes
         hot = prefixes.select(F.explode("warm").alias("token")).groupBy("token").count().where(F.col("count") > self.hot)
-        hot = materialize(hot.select("token"), "hot")
-        some = hot.count()
-        if not some:
+        hot = materialize(hot.select("token", (1 + F.floor(F.sqrt(F.col("count") / PART))).cast("int").alias("parts")), "hot")
+        if hot.isEmpty():
             return self._resolved(self._shared(self._pairs(rows, rows)), texts)
-        hot = F.broadcast(hot) if some <= BROADCAST_ROWS else hot
-        warm = materialize(rows.join(hot, "token", "left_semi"), "warm")
-        rows = rows.join(hot, "token", "left_anti")
-        pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
+        known = small(hot)
+        warm = materialize(rows.join(known, "token"), "warm")
+        rows = rows.join(known, "token", "left_anti")
+        pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", F.struct("doc", "line")).alias("line"))
         stars = materialize(self._pairs(warm.join(pivot, ["token", "doc", "line"], "left_semi"), warm), "stars")
         found = materialize(self._resolved(stars, texts), "found")
-        pairs = self._pairs(rows, rows).unionByName(self._pairs(warm, warm.join(found, ["doc", "line"], "left_anti")))
-        return found.unionByName(self._resolved(self._shared(pairs), texts))
+        pairs = self._pairs(rows, rows).unionByName(self._parted(warm, warm.join(found, ["doc", "line"], "left_anti")))
+        out = found.unionByName(self._resolved(self._shared(pairs), texts))
+        discard(stars)
+        return out
+
+    def _parted(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs on hot words: lines meet those of their own and the neighbouring bands of length, in salted parts.
+
+        A band spans a little more than the factor by which similar lines may differ in length, so neighbours suffice.
+        """
+        step = math.log(100 / self.percent * 1.008) if self.percent < 100 else 0.01
+        band = F.floor(F.log(F.shiftright("place", 32).cast("double")) / step).cast("int")
+        salt = F.pmod(F.xxhash64("doc", "line"), F.col("parts")).cast("int")
+        left = left.withColumn("part", F.struct(band.alias("band"), salt.alias("salt")))
+        right = right.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = right.withColumn("part", F.struct("band", "salt"))
+        return self._pairs(left, right, "part")
 
     def _shared(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share as many prefix words as their shorter line asks for."""
@@ -330,10 +365,10 @@ class LineDedup:
         rest = materialize(open_.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "rest")
         return found if rest.isEmpty() else found.unionByName(self._verified(rest, texts))
 
-    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("token", *(F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "bits")))
-        b = right.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "bits")))
-        return a.join(b, "token").where(self._bounds()).select("a_doc", "a_line", "b_doc", "b_line", F.expr("bit_count(a_bits ^ b_bits)").alias("apart"), F.expr(self._asked()).alias("asked"))
+    def _pairs(self, left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        a = left.select("token", *more, *(F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "bits")))
+        b = right.select("token", *more, *(F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "bits")))
+        return a.join(b, ["token", *more]).where(self._bounds()).select("a_doc", "a_line", "b_doc", "b_line", F.expr("bit_count(a_bits ^ b_bits)").alias("apart"), F.expr(self._asked()).alias("asked"))
 
     def _asked(self) -> str:
         return "(least(a_place, b_place) >> 28 & 15)"
@@ -353,7 +388,7 @@ class LineDedup:
         """(doc, line) of the later line of each pair that is similar enough."""
         ends = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))).alias("e"))
         wanted = materialize(ends.select("e.*").groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
-        sets = materialize(self._with(texts, wanted, "inner").mapInArrow(_line_sets, "doc long, line int, set array<long>"), "sets")
+        sets = materialize(self._with(texts, wanted, "inner").mapInArrow(_line_sets, f"doc {texts.schema['doc'].dataType.simpleString()}, line int, set array<long>"), "sets")
         a = sets.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("set").alias("sa"))
         b = sets.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("set").alias("sb"))
         both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
