@@ -11,12 +11,14 @@
 4. Survivors are verified on the full sets in three rounds, the likeliest partners of a document
    first; verified links contract to components, and pairs inside one need no more work.
 5. Buckets that still hold several components are compared across these components, so no
-   link is lost to the choice of pivots.  Pairs are streamed through the signature test
-   inside the join; only survivors are ever written.
+   link is lost to the choice of pivots: sets of the same and neighbouring bands of size, a large
+   bucket in salted parts.  Pairs are streamed through the signature test inside the join; only
+   survivors are ever written.
 
 Definitions.  A null or wordless text has no shingles, links with nothing and is its own
-component.  A null id gives a null component and ``kept`` true.  Rows that share an id are
-each placed by their own text.  Other columns are ignored.
+component.  A null id gives a null component and ``kept`` true.  Rows that share an id and differ
+in text are each placed by their own text; their component is named by the smallest id in it.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from profilark.functions.cluster import materialize, ship
+from profilark.functions.cluster import discard, materialize, ship, small
 from profilark.llm import textscan as ts
+from profilark.llm.columns import keyed, named
 from profilark.llm.graph import components
 
 PERMUTATIONS, ROWS = 128, 4
@@ -40,8 +43,8 @@ BANDS = PERMUTATIONS // ROWS
 PACKED = PERMUTATIONS // 16
 #: How many of a document's likeliest partners are verified in each round; the last takes all that are left.
 WIDTHS = (1, 16, None)
-#: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: A bucket's sets are compared in 1 + sqrt(sets / this) salted parts.
+PART = 1 << 10
 
 _rng = np.random.default_rng(1997)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,6 +119,15 @@ def _sets(n: int):
     return run
 
 
+def _sizes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in ts.slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(shingle_sets(part.column(1), n)[1]))], names=["n"])
+
+    return run
+
+
 def posterior_cutoffs(threshold: float, miss: float, batch: int = 16, batches: int = PACKED, bits: int = 4) -> list[int]:
     """Fewest agreements after each batch at which P(similarity >= threshold | agreements) >= miss, under a uniform prior."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -162,39 +174,50 @@ class NearDuplicates:
         self.shingle, self.percent, self.miss, self.id_col, self.text_col = shingle, percent, miss, id_col, text_col
 
     def run(self, docs: DataFrame) -> DataFrame:
-        ship(docs.sparkSession)
-        texts = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
-        schema = "id long, n long, f1 long, f2 long, " + ", ".join(f"s{k} long" for k in range(PACKED)) + ", bands array<long>"
+        rows = docs.select(named(self.id_col).cast("long").alias("id"), named(self.text_col).cast("string").alias("text"))
+        whole = keyed(rows.where("id is not null"), "id")
+        out = self.placed(whole)
+        if "struct" in whole.schema["id"].dataType.simpleString():
+            out = out.select(F.col("id.id").alias("id"), "n", F.col("component.id").alias("component"))
+        unnamed = rows.where("id is null").mapInArrow(_sizes(self.shingle), "n long").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("component"))
+        out = out.unionByName(unnamed)
+        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+    def placed(self, texts: DataFrame) -> DataFrame:
+        """``id, n, component`` of rows of ``id, text``: ids of any type that sorts, none null, one for each text."""
+        ship(texts.sparkSession)
+        kind = texts.schema["id"].dataType.simpleString()
+        schema = f"id {kind}, n long, f1 long, f2 long, " + ", ".join(f"s{k} long" for k in range(PACKED)) + ", bands array<long>"
         feats = materialize(texts.mapInArrow(_features(self.shingle), schema), "minhash")
-        some = feats.where("n > 0 and id is not null")
+        some = feats.where("n > 0")
 
         groups = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         groups = materialize(groups.where("copies > 1"), "copies")
         # a hot group's rows meet their representative in 8 salted parts
         salted = groups.select("f1", "f2", "rep", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-        placed = some.select("id", "n", "f1", "f2", F.pmod("id", F.lit(8)).cast("int").alias("salt")).join(salted, ["f1", "f2", "salt"], "left")
+        placed = some.select("id", "n", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("salt")).join(salted, ["f1", "f2", "salt"], "left")
         placed = materialize(placed.select("id", "n", F.coalesce("rep", "id").alias("rep")), "placed")
         others = placed.where("rep != id").select("id").distinct()
         reps = some.join(others, "id", "left_anti")
 
         links = self._links(reps, texts)
         found = components(links)
-        out = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
-        out = out.unionByName(feats.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
-        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        out = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+        return out.unionByName(feats.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
     def _links(self, reps: DataFrame, texts: DataFrame) -> DataFrame:
         """Verified links (a, b) that connect the representatives as all links would."""
         share = self.percent / 100
-        keyed = reps.select("id", F.explode("bands").alias("key"))
-        pivots = keyed.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"))
-        buckets = materialize(keyed.join(pivots.where("p < q"), "key"), "buckets")
+        keyed_ = reps.select("id", F.explode("bands").alias("key"))
+        pivots = keyed_.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q"))
+        buckets = materialize(keyed_.join(pivots.where("p < q"), "key"), "buckets")
         stars = buckets.select(F.explode(F.array("p", "q")).alias("x"), "id").where("x != id")
         stars = stars.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         sides = materialize(reps.join(buckets.select("id").distinct(), "id", "left_semi").drop("bands"), "sides")
         pool = materialize(surviving(stars.join(_side(sides, "a"), "a").join(_side(sides, "b"), "b"), share, self.miss), "stars")
         sets = self._fetch(texts, pool)
         links, tested = self._verify(pool, sets, None)
+        discard(sets)
 
         comp = materialize(components(links), "comp") if links is not None else None
         rows = buckets.select("key", "id").join(sides, "id")
@@ -202,10 +225,9 @@ class NearDuplicates:
             rows = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         else:
             rows = rows.withColumn("c", F.col("id"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rows = rows.join(mixed, "key", "left_semi")
-        left, right = (_side(rows, side, "key", F.col("c").alias(f"c{side}")) for side in "ab")
-        across = surviving(left.join(right, "key").where("a < b and ca != cb"), share, self.miss).distinct()
+        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("sets")).where("lo < hi")
+        mixed = mixed.select("key", (1 + F.floor(F.sqrt(F.col("sets") / PART))).cast("int").alias("parts"))
+        across = surviving(self._parted(rows.join(mixed, "key")), share, self.miss).distinct()
         if tested is not None:
             across = across.join(tested, ["a", "b"], "left_anti")
         pool = materialize(across, "across")
@@ -213,13 +235,27 @@ class NearDuplicates:
             return links if links is not None else pool.select("a", "b")
         sets = self._fetch(texts, pool)
         more, _ = self._verify(pool, sets, links)
+        discard(sets)
         return more if more is not None else pool.select("a", "b").limit(0)
 
+    def _parted(self, rows: DataFrame) -> DataFrame:
+        """Pairs of one bucket and two components.
+
+        A band spans a little more than the factor by which similar sets may differ in size, so neighbours suffice.
+        """
+        step = math.log(100 / self.percent * 1.008) if self.percent < 100 else 0.01
+        rows = materialize(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "mixed")
+        salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        left = _side(rows, "a", "key", "band", salt.alias("salt"), F.col("c").alias("ca"))
+        copies = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = _side(copies, "b", "key", "band", "salt", F.col("c").alias("cb"))
+        return left.join(right, ["key", "band", "salt"]).where("a < b and ca != cb")
+
     def _fetch(self, texts: DataFrame, pool: DataFrame) -> DataFrame:
         """The full shingle sets of the documents in these pairs."""
         ids = materialize(pool.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return materialize(texts.join(side, "id", "left_semi").mapInArrow(_sets(self.shingle), "id long, set array<long>").where(F.size("set") > 0), "sets")
+        kind = texts.schema["id"].dataType.simpleString()
+        return materialize(texts.join(small(ids), "id", "left_semi").mapInArrow(_sets(self.shingle), f"id {kind}, set array<long>").where(F.size("set") > 0), "sets")
 
     def _verify(self, pool: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
         """Links that connect the pool's documents as all its links would, and the pairs tested for them."""
