@@ -131,7 +131,7 @@ def _count(wanted):
     return run
 
 
-def _mark(shared, last: bool):
+def _mark(shared, last: bool, whole_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for whole in batches:
@@ -166,10 +166,9 @@ def _mark(shared, last: bool):
                     edge = np.diff(np.concatenate([[0], hit[w.ptr[k] : w.ptr[k + 1]], [0]]).astype(np.int8))
                     spans[k] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
                 items = [sorted(seen.get(k, ())) for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(w.count.astype(np.int64)), pa.array((sums[w.ptr[1:]] - sums[w.ptr[:-1]]).astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-                    names=["id", "n_words", "n_hit", "items", "spans"],
-                )
+                out = [part.column(0), pa.array(w.count.astype(np.int64)), pa.array((sums[w.ptr[1:]] - sums[w.ptr[:-1]]).astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]
+                out += [part.column(1)] * whole_text
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n_words", "n_hit", "items", "spans", "text"][: len(out)])
 
     return run
 
@@ -185,7 +184,8 @@ class Decontaminator:
             raise ValueError("window and block_bytes: at least 1")
         self.window, self.id_col, self.text_col, self.item_col, self.item_text_col, self.block_bytes = window, id_col, text_col, item_col, item_text_col, block_bytes
 
-    def run(self, docs: DataFrame, items: DataFrame) -> DataFrame:
+    def run(self, docs: DataFrame, items: DataFrame, whole_text: bool = False) -> DataFrame:
+        """See above; with ``whole_text`` also ``text``, as it comes back from the worker that read it."""
         spark = docs.sparkSession
         ship(spark)
         empty = F.lit(None)
@@ -201,7 +201,7 @@ class Decontaminator:
             if k < blocks - 1:
                 rest = materialize(rest.mapInArrow(_mark(index, False), rest.schema), "marks")
             else:
-                rest = rest.mapInArrow(_mark(index, True), f"id {id_type}, n_words long, n_hit long, items array<string>, spans array<struct<first: int, last: int>>")
+                rest = rest.mapInArrow(_mark(index, True, whole_text), f"id {id_type}, n_words long, n_hit long, items array<string>, spans array<struct<first: int, last: int>>" + ", text string" * whole_text)
         return rest.withColumnRenamed("id", self.id_col)
 
     def _frequency(self, docs: DataFrame, own: list[tuple[str, str]]) -> dict[int, int]:

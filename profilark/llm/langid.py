@@ -9,11 +9,12 @@ posteriors over the whole text; a document takes the label with the largest mean
 its score.
 
 Training rows are a bounded sample: at most ``sample_docs`` documents for each label, those with the
-smallest hash of id and text, of at most ``sample_bytes`` each.  Counting labels covers all rows.
+smallest hash of text and id, of at most ``sample_bytes`` each; no more than these reach the driver.
 Texts are predicted whole, in batches; the language column, ids and sources are never inputs.
 
 Definitions.  Null text, or one without any letter, is ``und`` with score 0.  With no training row
 all texts are ``und``.  Ids may be null or repeat.  Ties go to the first label in code point order.
+A carried column that is named as an added one gets ``_`` behind it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import ship
 from profilark.llm import textscan as ts
+from profilark.llm.columns import carried, fresh, named
 
 BITS = 18
 SIZE = 1 << BITS
@@ -242,12 +244,13 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, ts.W
     return [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist())], score, w, post
 
 
-def _label(shared):
+def _label(shared, whole_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in ts.slices(whole, "text"):
                 names, score, _, _ = predict(shared.value, part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["rest", "lang_pred", "score"])
+                out = [part.column(0), pa.array(names, pa.string()), pa.array(score)] + [part.column(1)] * whole_text
+                yield pa.RecordBatch.from_arrays(out, names=["rest", "lang_pred", "score", "text"][: len(out)])
 
     return run
 
@@ -283,22 +286,17 @@ class LanguageTagger:
 
     def fit(self, labelled: DataFrame, id_col: str = "doc_id") -> LanguageTagger:
         """Learn from the rows that have a label and a text of at most ``sample_bytes``."""
-        text, label = F.col(self.text_col).cast("string"), F.col(self.label_col).cast("string")
-        rows = labelled.select(label.alias("label"), text.alias("text"), F.col(id_col).alias("id")).where("label is not null and text is not null")
-        rows = rows.where(F.octet_length("text") <= self.sample_bytes).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
-        # ids spread evenly: the share that gives each label its number of documents, with a margin
-        counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        if counts:
-            # at most this part of each label's rows is read back, cut to sample_docs by hash
-            share = [F.when(F.col("label") == name, F.lit(min(1 << 20, int((self.sample_docs * 1.3 + 20) / n * (1 << 20)) + 1))) for name, n in sorted(counts.items())]
-            sample = rows.where(F.col("h") < F.coalesce(*share)).collect()
-        else:
-            sample = []
-        per: dict[str, list] = {}
-        for row in sorted(sample, key=lambda x: (x["h"], str(x["id"]), x["text"])):
-            own = per.setdefault(row["label"], [])
-            if len(own) < self.sample_docs:
-                own.append((row["label"], row["text"]))
+        text, label = named(self.text_col).cast("string"), named(self.label_col).cast("string")
+        rows = labelled.select(label.alias("label"), text.alias("text"), named(id_col).cast("string").alias("id")).where("label is not null and text is not null")
+        rows = rows.where(F.octet_length("text") <= self.sample_bytes).withColumn("h", F.xxhash64("text", "id"))
+        # one label after another: a sorted limit keeps the smallest of each task, so skew or equal ids gather nothing
+        labels = [r["label"] for r in rows.groupBy("label").count().orderBy("label").collect()]
+        per = {}
+        for name in labels:
+            # the hashes first, so that only the texts that are taken are moved
+            least = rows.where(F.col("label") == name).select("h").orderBy("h").limit(self.sample_docs).agg(F.max("h")).first()[0]
+            taken = rows.where((F.col("label") == name) & (F.col("h") <= least)).orderBy("h", "text").limit(self.sample_docs).select("text").collect()
+            per[name] = [(name, r["text"]) for r in taken]
         self.model = train([x for name in sorted(per) for x in per[name]], self.rounds)
         return self
 
@@ -309,10 +307,21 @@ class LanguageTagger:
         return docs.sparkSession.sparkContext.broadcast(self.model)
 
     def run(self, docs: DataFrame, *carry: str | Column) -> DataFrame:
-        """The ``carry`` columns with ``lang_pred`` and ``score`` for every row."""
-        rows = docs.select(F.struct(*carry).alias("rest"), F.col(self.text_col).cast("string").alias("text"))
+        """The ``carry`` columns with ``lang_pred`` and ``score`` for every row.
+
+        Where the text is carried it comes back from the worker that read it, so it is sent there once.
+        """
+        added = ["lang_pred", "score"]
+        names = docs.select(*carry).columns
+        whole = docs.select(*carry).toDF(*names).select(*carried(names, added)).columns
+        plain = {c for c in carry if isinstance(c, str)}
+        back = [self.text_col in plain and c == self.text_col for c in names]
+        rows = docs.select(*carry, named(self.text_col).cast("string").alias(fresh("text", whole))).toDF(*whole, own := fresh("text", whole))
+        rest = [named(c) for c, b in zip(whole, back) if not b] or [F.lit(0).alias("none")]
+        rows = rows.select(F.struct(*rest).alias("rest"), named(own).alias("text"))
         kind = rows.schema["rest"].dataType.simpleString()
-        return rows.mapInArrow(_label(self._shared(docs)), f"rest {kind}, lang_pred string, score double").select("rest.*", "lang_pred", "score")
+        out = rows.mapInArrow(_label(self._shared(docs), any(back)), f"rest {kind}, lang_pred string, score double" + ", text string" * any(back))
+        return out.select(*(F.col("text").alias(c) if b else F.col("rest")[c].alias(c) for c, b in zip(whole, back)), *added)
 
     def words(self, docs: DataFrame, *carry: str | Column) -> DataFrame:
         """One row per word: the ``carry`` columns, its number, itself and its label."""
