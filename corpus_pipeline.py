@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilark.functions.cluster import materialize, table
+from profilark.functions.cluster import materialize, small, table
+from profilark.llm.columns import fresh, named
 from profilark.llm.decontaminate import Decontaminator
 from profilark.llm.langid import UNKNOWN, LanguageTagger
 from profilark.llm.linededup import LineDedup
@@ -19,16 +20,21 @@ from profilark.llm.neardup import NearDuplicates
 
 #: Below this mean posterior no language is credited to a text (even odds between four are 0.25).
 LEAST_SCORE = 0.3
-#: Ids that may be broadcast to take documents out; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns as ``doc``: a worker is sent each text once."""
+    return docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("doc"), "text")
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a recognisable language (null, without letters, or below ``LEAST_SCORE``)."""
-    tagger = LanguageTagger().fit(docs)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    tagged = tagger.run(whole, "doc")
-    return tagged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    tagged = LanguageTagger().fit(docs).run(_packed(docs), "doc", "text")
+    return _unpacked(tagged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,21 +42,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A shorter line is no evidence of copying.  ``n_chars`` follows the text.
     """
-    out = LineDedup(percent=80, least_words=5).run(docs, removed_col=None, emptied_col="__emptied")
-    return out.where(~F.col("__emptied")).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    emptied = fresh("emptied", docs.columns)
+    out = LineDedup(percent=80, least_words=5).run(docs, removed_col=None, emptied_col=emptied)
+    return out.where(~F.col(emptied)).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = materialize(NearDuplicates(shingle=5, percent=80).run(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near duplicates (five-word shingles, similarity 0.8): that of the
+    smallest id, null ids last.  Rows are numbered, so null and repeated ids lose no text that stands alone."""
+    row = fresh("row", docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    found = NearDuplicates(shingle=5, percent=80).placed(rows.select(key.alias("id"), F.col("text").cast("string").alias("text")))
+    gone = materialize(found.where("id != component").select(F.col("id.row").alias(row)), "gone")
+    return rows.join(small(gone), row, "left_anti").select(*map(named, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item (or a whole shorter item)."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    marked = Decontaminator(window=10, id_col="doc").run(whole, table(spark, sf_dir, "benchmark"))
-    return marked.where("n_hit = 0").select("doc.*")
+    marked = Decontaminator(window=10, id_col="doc").run(_packed(docs), table(spark, sf_dir, "benchmark"), whole_text=True)
+    return _unpacked(marked.where("n_hit = 0"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
