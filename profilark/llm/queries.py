@@ -11,9 +11,9 @@ from profilark.functions.cluster import table
 from profilark.llm import decontaminate, htmltext, langid, media, mixing
 from profilark.llm.licenses import LicenseScan
 from profilark.llm.linededup import LineDedup
-from profilark.llm.lmscore import WindowLM
 from profilark.llm.neardup import near_duplicates
 from profilark.llm.secrets import SecretScan
+from profilark.llm.windowlm import WindowLM
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
