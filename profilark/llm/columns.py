@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def named(name: str) -> Column:
@@ -21,16 +22,26 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def carried(columns: Iterable[str], outputs: Iterable[str]) -> list[Column]:
-    """The columns; one that has the name of an output gets ``_`` behind it."""
+def renamed(columns: Iterable[str], outputs: Iterable[str]) -> list[str]:
+    """The names; one that is the name of an output gets ``_`` behind it."""
     taken, out = [*outputs], []
     for c in columns:
-        name = fresh(c, taken)
-        taken.append(name)
-        out.append(named(c).alias(name))
+        out.append(fresh(c, taken))
+        taken.append(out[-1])
     return out
 
 
+def carried(columns: Iterable[str], outputs: Iterable[str]) -> list[Column]:
+    """The columns under these names."""
+    columns = [*columns]
+    return [named(c).alias(name) for c, name in zip(columns, renamed(columns, outputs))]
+
+
+def typed(rows: DataFrame, name: str, rest: str) -> StructType:
+    """A schema of one column of ``rows`` as it is (whatever its fields are called), and of others in DDL."""
+    return StructType([StructField(name, rows.schema[name].dataType), *StructType.fromDDL(rest).fields])
+
+
 def keyed(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Rows whose ``key`` tells different texts apart: as it is where no id repeats, else (id, hash of the text).
 

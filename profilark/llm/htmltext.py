@@ -3,14 +3,17 @@
 A page is cut at block-level tags into flat text blocks.  Each has its word count and link
 density, those of the blocks before and after it, and marks of where it stands (inside an
 article, a navigation element, an element whose class names an advert, and so on).  A decision
-tree, grown on the labelled table ``LABELLED`` below, keeps or drops each block; kept blocks are
-joined in page order.  A whole page is read, however long, and nothing is cut.
+tree, grown on the labelled pages of ``htmlpages``, weighs all of them and keeps or drops each
+block; no name decides alone.  Kept blocks are joined in page order.  A whole page is read,
+however long, and nothing is cut.
 
 Definitions.  Null html is an empty page.  A page without kept blocks has an empty text.
 Character references are decoded, white space inside a block becomes one space, a ``<br>`` is
-white space, comments, scripts and styles are no text.  Unclosed and stray tags are tolerated:
-a closing tag ends the nearest open element of its name, and is ignored where there is none.
-Ids may be null or repeat; each row stands for itself.
+white space; comments, scripts, styles and inline elements marked as hidden are no text.  Unclosed
+and stray tags are tolerated: a closing tag ends the nearest open element of its name, and is
+ignored where there is none; a head ends where anything stands that no head may hold.  Ids may be
+null or repeat; each row stands for itself.  A carried column that is named as an added one gets
+``_`` behind it.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import ship
 from profilark.llm import textscan as ts
+from profilark.llm.columns import named, renamed, typed
+from profilark.llm.htmlpages import TRAINING, Page
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*+(?:\"[^\"]*\"|'[^']*'))*+[^>\"']*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -42,31 +47,40 @@ IMPLIED = {
 AWAY = set("nav footer aside form head select button menu dialog noscript template svg object canvas datalist audio video math".split())
 BODY = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-BAD = set(
-    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts disclaimer"
-    " sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist respond disqus replies reply share sharing social related recommended"
-    " recommendations newsletter subscribe subscription signup signin login search popup modal overlay widget widgets pagination pager toolbar copyright legal paywall hidden skip offscreen teaser tagcloud".split()
+#: Names of furniture, and names that are as often those of a subject ("side effects", "legal advice").
+FURNITURE = set(
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored promo cookie cookies consent gdpr sidebar sidenav nav navbar navbox navigation"
+    " breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus newsletter signin pagination pager modal paywall offscreen tagcloud recommendations popup".split()
 )
+AMBIGUOUS = set(
+    "side legal notice notices alert alerts disclaimer search share sharing social related recommended skip banner menu widget widgets copyright promotion teaser reply replies respond"
+    " subscribe subscription login signup toolbar overlay hidden".split()
+)
+#: What a head may hold.
+IN_HEAD = {"head", "title", "base", "link", "meta", "style", "script", "noscript", "template"}
 HEADER = {"header", "head", "top"}
 GOOD = set("article content post entry story main body text page prose blogpost maincontent articlebody".split())
 WORDS = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
-FEATURES = ["words", "link", "words_before", "link_before", "words_after", "link_after", "away", "named_away", "article", "named_body", "heading", "item", "page_has_article", "header"]
+FEATURES = ["words", "link", "words_before", "link_before", "words_after", "link_after", "away", "furniture", "article", "named_body", "heading", "item", "page_has_article", "header", "ambiguous", "outside"]
+NONE = (False,) * 6
 
 
 @lru_cache(4096)
-def _marks(tag: str, attributes: str, in_body: bool) -> tuple[bool, bool, bool, bool, bool]:
-    """(away, named away, article, named body, header) of one element."""
+def _marks(tag: str, attributes: str, in_body: bool) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """(away, furniture, article, named body, header, ambiguous) of one element."""
     away, body, header = tag in AWAY, tag in BODY, tag == "header" and not in_body
-    named = good = False
+    furniture = good = maybe = False
     if attributes and len(attributes) > 3:
         for name, *value in ATTRIBUTE.findall(attributes):
             name = name.lower()
             value = "".join(value)
             if name in ("class", "id"):
                 tokens = set(WORDS.findall(CAMEL.sub(r"\1 \2", value).lower()))
-                named |= bool(tokens & BAD) and not tokens & {"with", "has", "no", "without"} and tag not in ("html", "body")
+                if not tokens & {"with", "has", "no", "without"} and tag not in ("html", "body"):
+                    furniture |= bool(tokens & FURNITURE)
+                    maybe |= bool(tokens & AMBIGUOUS)
                 header |= bool(tokens & HEADER) and not in_body
                 good |= bool(tokens & GOOD)
             elif name == "role":
@@ -74,7 +88,7 @@ def _marks(tag: str, attributes: str, in_body: bool) -> tuple[bool, bool, bool,
                 body |= value.lower() in ("main", "article")
             elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 away = True
-    return away, named, body, good, header
+    return away, furniture, body, good, header, maybe
 
 
 class _Page:
@@ -83,7 +97,7 @@ class _Page:
     def __init__(self):
         self.blocks: list[tuple[str, int, int, tuple]] = []
         self.stack: list[tuple[str, tuple]] = []
-        self.own = (False,) * 5
+        self.own = NONE
         self.paragraph = None
         self.pieces: list[str] = []
         self.linked = 0
@@ -94,6 +108,8 @@ class _Page:
     def text(self, raw: str) -> None:
         if any(hidden for _, hidden in self.inline):
             return
+        if self.stack and self.stack[-1][0] == "head" and raw.strip():
+            self._leave_head()
         piece = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(piece)
         if self.link:
@@ -109,12 +125,22 @@ class _Page:
         self.linked = 0
 
     def _settle(self) -> None:
-        self.own = self.stack[-1][1] if self.stack else (False,) * 5
+        self.own = self.stack[-1][1] if self.stack else NONE
         tags = [t for t, _ in self.stack[-4:]]
         self.heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tags[-1:])
         self.item = any(t in ("li", "dt", "dd", "td", "th", "option") for t in tags[-2:])
 
+    def _leave_head(self) -> None:
+        for k, (tag, _) in enumerate(self.stack):
+            if tag == "head":
+                self.cut()
+                del self.stack[k:]
+                self._settle()
+                return
+
     def open(self, tag: str, attributes: str) -> None:
+        if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+            self._leave_head()
         if tag == "br":
             self.pieces.append(" ")
             return
@@ -122,8 +148,7 @@ class _Page:
             if tag == "a":
                 self.link = True
             if tag not in VOID and len(attributes) > 3:
-                away, named, *_ = _marks(tag, attributes, False)
-                if away or (named and tag != "a"):
+                if _marks(tag, attributes, False)[0]:
                     self.inline.append((tag, True))
                 elif self.inline and self.inline[-1][0] == tag:
                     self.inline.append((tag, False))
@@ -216,49 +241,27 @@ def rows(found: list[tuple[str, int, int, tuple]]) -> np.ndarray:
         x[1:, 2], x[1:, 3] = words[:-1], link[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], link[1:]
         x[:, 6:10] = marks[:, :4]
-        x[:, 10:12] = marks[:, 5:]
+        x[:, 10:12] = marks[:, 6:]
         x[:, 12] = marks[:, 2].any()
-        x[:, 13] = marks[:, 4]
+        x[:, 13:15] = marks[:, 4:6]
+        x[:, 15] = marks[:, 2].any() & ~marks[:, 2]
     return x
 
 
-#: The labelled table: pages as lists of blocks, each (where it stands, words, linked words, is main text).
-LABELLED: list[list[tuple[str, int, int, int]]] = [
-    [("nav ul li", 1, 1, 0)] * 4 + [("div.ad", 11, 0, 0), ("article h1", 7, 0, 1), ("article p", 62, 0, 1), ("article p", 1, 0, 1), ("article p", 35, 2, 1), ("article p", 4, 0, 1), ("footer", 12, 0, 0)],
-    [("header h1", 3, 1, 0), ("header nav a", 9, 9, 0), ("main h1", 6, 0, 1), ("main p", 80, 1, 1), ("main ul li", 6, 0, 1), ("main ul li", 5, 1, 1), ("main div.ad p", 20, 2, 0), ("main p", 2, 0, 1), ("aside h2", 2, 0, 0), ("aside p", 45, 0, 0), ("footer p", 30, 6, 0)],
-    [("div.cookie-notice p", 25, 2, 0), ("div.menu ul li", 2, 2, 0), ("div.menu ul li", 1, 1, 0), ("div.content h1", 8, 0, 1), ("div.content p", 90, 3, 1), ("div.content p", 55, 0, 1), ("div.content p", 3, 0, 1), ("div.comments p", 40, 0, 0), ("div.comments p", 3, 0, 0), ("div.footer p", 10, 2, 0)],
-    [("div ul li", 1, 1, 0), ("div ul li", 2, 2, 0), ("div ul li", 1, 1, 0), ("div h1", 6, 0, 1), ("div p", 70, 0, 1), ("div p", 44, 1, 1), ("div p", 8, 0, 1), ("div p", 65, 0, 1), ("div", 9, 7, 0), ("div", 5, 4, 0)],
-    [("form label", 3, 0, 0), ("form p", 30, 0, 0), ("article h1", 5, 0, 1), ("article h2", 3, 0, 1), ("article p", 48, 5, 1), ("article blockquote", 22, 0, 1), ("article table tr td", 2, 0, 1), ("article table tr td", 3, 0, 1), ("article div.share ul li", 1, 1, 0), ("article div.related p", 14, 8, 0), ("section.comments article.comment p", 33, 0, 0), ("section.comments article.comment p", 2, 0, 0)],
-    [("div.header p", 6, 0, 0), ("div.header p", 22, 0, 0), ("article header h1", 9, 0, 1), ("article p", 9, 9, 1), ("article p", 120, 10, 1), ("article form p", 12, 0, 0), ("article aside p", 25, 0, 0), ("div p", 40, 0, 0), ("div", 15, 1, 0), ("p", 6, 0, 0)],
-    [("p", 5, 4, 0), ("p", 8, 8, 0), ("h1", 5, 0, 1), ("p", 51, 0, 1), ("p", 12, 0, 1), ("p", 33, 2, 1), ("h2", 3, 0, 1), ("p", 40, 0, 1), ("p", 4, 4, 0)],
-    [("table tr td a", 2, 2, 0), ("table tr td", 1, 1, 0), ("table tr td p", 66, 1, 1), ("table tr td p", 30, 0, 1), ("table tr td p", 7, 0, 1), ("table tr td p", 45, 0, 1), ("table tr td", 8, 3, 0)],
-    [("div.banner p", 14, 0, 0), ("article p.notice", 18, 0, 0), ("article h1", 4, 0, 1), ("article ol li", 15, 0, 1), ("article ol li", 1, 0, 1), ("article ol li", 3, 3, 1), ("article pre", 20, 0, 1), ("article figure figcaption", 8, 0, 1), ("footer ul li", 2, 2, 0), ("footer p", 50, 0, 0)],
-    [("header p", 18, 0, 0), ("div.sidebar p", 60, 1, 0), ("div.sidebar ul li", 3, 3, 0), ("div.post h1", 6, 0, 1), ("div.post p", 50, 0, 1), ("div.post p", 2, 0, 1), ("div.post div.ads", 16, 1, 0), ("div.post p", 19, 0, 1), ("div.newsletter p", 22, 0, 0), ("div.post-comments p", 28, 0, 0)],
-    [("article h1", 8, 0, 1), ("article p", 8, 0, 1), ("article p", 120, 0, 1), ("article p", 8, 0, 1), ("article p", 1, 0, 1), ("article p", 90, 0, 1), ("article p", 54, 0, 1), ("article p", 1, 0, 1)],
-    [("article p", 30, 0, 1), ("article p", 60, 0, 1), ("article p", 1, 0, 1), ("p", 45, 0, 0)], [("article p", 50, 9, 1), ("article p", 25, 25, 1), ("article p", 40, 0, 1), ("div", 60, 0, 0), ("div ul li", 3, 1, 0), ("p", 2, 0, 0)],
-    [("article ul li", 2, 2, 1), ("article ul li", 4, 4, 1), ("article h2", 3, 0, 1), ("article p", 100, 30, 1), ("article p", 20, 0, 1), ("p", 80, 4, 0), ("p", 1, 0, 0)],
-    [("main h1", 3, 0, 1), ("main p", 3, 0, 1), ("main p", 100, 2, 1), ("main p", 14, 0, 1), ("main table tr td", 1, 0, 1), ("div p", 70, 0, 0), ("div", 30, 5, 0)],
-    [("div.content p", 40, 0, 1), ("div.content p", 1, 0, 1), ("div.content p", 12, 4, 1), ("div.content ul li", 6, 0, 1), ("div.content h2", 4, 0, 1), ("div.content p", 9, 0, 1)],
-    [("p", 70, 0, 1), ("p", 1, 0, 1), ("p", 55, 0, 1), ("ul li", 5, 0, 1), ("ul li", 2, 0, 1), ("p", 21, 0, 1), ("p", 3, 0, 1)],
-    [("div", 3, 3, 0), ("article p", 2, 0, 1), ("nav p", 55, 0, 0), ("article div.comment p", 70, 0, 0)],
-    [("p", 2, 0, 1)], [("p", 60, 0, 1)], [("div", 25, 0, 1)], [("h1", 4, 0, 1), ("p", 20, 0, 1)], [("nav p", 30, 0, 0)], [("div.ad p", 60, 0, 0)],
-]
-
-
-def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the labelled table."""
+def labelled_rows(pages: list[Page] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of labelled pages (of those for training, if none are given)."""
     xs, ys = [], []
-    for page in LABELLED:
+    for page in TRAINING if pages is None else pages:
         found = []
         for path, words, linked, _ in page:
-            marks, last = (False,) * 5, []
+            marks, last = NONE, []
             for step in path.split():
                 tag, _, name = step.partition(".")
                 if tag not in INLINE:
                     last.append(tag)
                 marks = tuple(a or b for a, b in zip(marks, _marks(tag, f' class="{name}"' if name else "", marks[2])))
             last = [t for t in last if t != "p"]
-            found.append(("", words, linked, (*marks, bool(last) and last[-1] in ("h1", "h2", "h3"), any(t in ("li", "td") for t in last[-2:]))))
+            found.append(("", words, linked, (*marks, bool(last) and last[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"), any(t in ("li", "dt", "dd", "td", "th", "option") for t in last[-2:]))))
         xs.append(rows(found))
         ys.append(np.array([b[3] for b in page]))
     return np.concatenate(xs), np.concatenate(ys)
@@ -267,7 +270,7 @@ def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
 class Tree:
     """A binary decision tree by Gini impurity, with arrays for its nodes."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1):
         self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
         self._grow(x, y, depth, least)
         self.arrays = tuple(map(np.array, (self.feature, self.cut, self.left, self.right, self.value)))
@@ -338,6 +341,8 @@ def _extract(tree: Tree | None):
 def extract(pages: DataFrame, *carry: str | Column, html_col: str = "html", tree: Tree | None = None) -> DataFrame:
     """The ``carry`` columns with ``main`` (text), ``n_blocks`` and ``n_kept`` for every page."""
     ship(pages.sparkSession)
-    got = pages.select(F.struct(*carry).alias("rest"), F.col(html_col).cast("string").alias("html"))
-    kind = got.schema["rest"].dataType.simpleString()
-    return got.mapInArrow(_extract(tree), f"rest {kind}, main string, n_blocks long, n_kept long").select("rest.*", "main", "n_blocks", "n_kept")
+    added = ["main", "n_blocks", "n_kept"]
+    names = pages.select(*carry).columns
+    rest = pages.select(F.struct(*carry).alias("rest"), named(html_col).cast("string").alias("html"))
+    out = rest.mapInArrow(_extract(tree), typed(rest, "rest", "main string, n_blocks long, n_kept long"))
+    return out.select(*(F.col("rest")[c].alias(n) for c, n in zip(names, renamed(names, added))), *added)
