@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import materialize, ship
 from profilark.llm import textscan as ts
+from profilark.llm.columns import named, typed
 
 
 @dataclass
@@ -189,19 +190,18 @@ class Decontaminator:
         spark = docs.sparkSession
         ship(spark)
         empty = F.lit(None)
-        rest = docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).cast("string").alias("text"), empty.cast("binary").alias("marks"), empty.cast("array<string>").alias("items"))
+        rest = docs.select(named(self.id_col).alias("id"), named(self.text_col).cast("string").alias("text"), empty.cast("binary").alias("marks"), empty.cast("array<string>").alias("items"))
         wanted = items.select(F.coalesce(F.col(self.item_col).cast("string"), F.lit("")).alias("item"), F.col(self.item_text_col).cast("string").alias("body")).where("body is not null").distinct()
         size = wanted.agg(F.sum(F.octet_length("body") + F.octet_length("item") + 16)).first()[0] or 0
         blocks = max(1, -(-size // self.block_bytes))
         part = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
-        id_type = rest.schema["id"].dataType.simpleString()
         for k in range(blocks):
             own = [tuple(r) for r in wanted.where(part == k).collect()]
             index = spark.sparkContext.broadcast(build_index(own, self.window, self._frequency(docs, own)))
             if k < blocks - 1:
                 rest = materialize(rest.mapInArrow(_mark(index, False), rest.schema), "marks")
             else:
-                rest = rest.mapInArrow(_mark(index, True, whole_text), f"id {id_type}, n_words long, n_hit long, items array<string>, spans array<struct<first: int, last: int>>" + ", text string" * whole_text)
+                rest = rest.mapInArrow(_mark(index, True, whole_text), typed(rest, "id", "n_words long, n_hit long, items array<string>, spans array<struct<first: int, last: int>>" + ", text string" * whole_text))
         return rest.withColumnRenamed("id", self.id_col)
 
     def _frequency(self, docs: DataFrame, own: list[tuple[str, str]]) -> dict[int, int]:

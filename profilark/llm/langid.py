@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import ship
 from profilark.llm import textscan as ts
-from profilark.llm.columns import carried, fresh, named
+from profilark.llm.columns import fresh, named, renamed, typed
 
 BITS = 18
 SIZE = 1 << BITS
@@ -313,21 +313,22 @@ class LanguageTagger:
         """
         added = ["lang_pred", "score"]
         names = docs.select(*carry).columns
-        whole = docs.select(*carry).toDF(*names).select(*carried(names, added)).columns
+        whole = renamed(names, added)
         plain = {c for c in carry if isinstance(c, str)}
         back = [self.text_col in plain and c == self.text_col for c in names]
         rows = docs.select(*carry, named(self.text_col).cast("string").alias(fresh("text", whole))).toDF(*whole, own := fresh("text", whole))
         rest = [named(c) for c, b in zip(whole, back) if not b] or [F.lit(0).alias("none")]
         rows = rows.select(F.struct(*rest).alias("rest"), named(own).alias("text"))
-        kind = rows.schema["rest"].dataType.simpleString()
-        out = rows.mapInArrow(_label(self._shared(docs), any(back)), f"rest {kind}, lang_pred string, score double" + ", text string" * any(back))
+        out = rows.mapInArrow(_label(self._shared(docs), any(back)), typed(rows, "rest", "lang_pred string, score double" + ", text string" * any(back)))
         return out.select(*(F.col("text").alias(c) if b else F.col("rest")[c].alias(c) for c, b in zip(whole, back)), *added)
 
     def words(self, docs: DataFrame, *carry: str | Column) -> DataFrame:
         """One row per word: the ``carry`` columns, its number, itself and its label."""
-        rows = docs.select(F.struct(*carry).alias("rest"), F.col(self.text_col).cast("string").alias("text"))
-        kind = rows.schema["rest"].dataType.simpleString()
-        return rows.mapInArrow(_label_words(self._shared(docs)), f"rest {kind}, word_no long, word string, lang_pred string").select("rest.*", "word_no", "word", "lang_pred")
+        added = ["word_no", "word", "lang_pred"]
+        names = docs.select(*carry).columns
+        rows = docs.select(F.struct(*carry).alias("rest"), named(self.text_col).cast("string").alias("text"))
+        out = rows.mapInArrow(_label_words(self._shared(docs)), typed(rows, "rest", "word_no long, word string, lang_pred string"))
+        return out.select(*(F.col("rest")[c].alias(n) for c, n in zip(names, renamed(names, added))), *added)
 
 
 def remainder(id_col: str = "doc_id") -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import discard, materialize, ship, small
 from profilark.llm import textscan as ts
-from profilark.llm.columns import carried, keyed, named, row_key
+from profilark.llm.columns import carried, keyed, named, row_key, typed
 
 BITS = 22
 SEGMENTS = 64
@@ -290,7 +290,7 @@ class LineDedup:
         if "struct" in gone.schema["doc"].dataType.simpleString():
             kept = kept.withColumn("doc", row_key("doc"))
         kept = self._with(kept, gone, "left").select("kept", "text", "lines")
-        out = kept.mapInArrow(_rewrite, f"kept {kept.schema['kept'].dataType.simpleString()}, text string, lines array<int>, emptied boolean")
+        out = kept.mapInArrow(_rewrite, typed(kept, "kept", "text string, lines array<int>, emptied boolean"))
         own = [F.col("text").alias(c) if k == at else F.col("kept")[c].alias(c) for k, c in enumerate(names)]
         if removed_col:
             own.append(F.coalesce("lines", F.array().cast("array<int>")).alias(removed_col))
