@@ -6,8 +6,8 @@ document is the sum of its words' conditional log-probabilities
     log p(group | window) + log p(member | group, window)
         [+ log p(beginning | member, window) + log p(word | member, beginning)].
 
-There are ``side`` groups of ``side`` members, ``side`` being twice the fourth root of the distinct
-words (64 at least).  The most frequent words fill three quarters of the members, each a member of its own, in
+There are ``side`` groups of ``side`` members, ``side`` being 3/2 times the fourth root of the distinct
+words (48 at least).  The most frequent words fill three quarters of the members, each a member of its own, in
 bands of frequency.  All other words share the rest by their last two bytes; inside such a member
 a softmax over beginnings, with the corpus's counts as prior, takes the window to the word, and
 the last factor comes from exact counts: the most frequent ``in_memory`` words are looked up, the
@@ -42,13 +42,13 @@ from profilark.functions.cluster import discard, materialize, ship
 from profilark.llm import textscan as ts
 from profilark.llm.columns import named
 
-LEAST_SIDE = 64
+LEAST_SIDE = 48
 HEADS = 32  # beginnings inside a shared member
-EMBED, HIDDEN = 24, 48
+EMBED, HIDDEN = 16, 32
 SIDES = (-2, -1, 1, 2)
 #: The share of the documents, in 256ths, that each round of training takes.
 ROUNDS = (16, 48, 192)
-BATCH = 2048
+BATCH = 4096
 BUFFER = 1 << 16  # words that are shuffled at a time
 SCORED = 1 << 15  # words that are scored at a time
 #: Weights are rounded to this before they are added up, so that no order of adding matters.
@@ -56,7 +56,7 @@ GRAIN = 2.0**-14
 
 
 def side_of(distinct: int) -> int:
-    return max(LEAST_SIDE, 2 * math.isqrt(math.isqrt(distinct)))
+    return max(LEAST_SIDE, 3 * math.isqrt(math.isqrt(distinct)) // 2)
 
 
 @dataclass
@@ -130,21 +130,23 @@ def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
     return [(v.leaves + 1, EMBED), (len(SIDES), EMBED, HIDDEN), (HIDDEN,), (HIDDEN, s), (s,), (s, HIDDEN, s), (s, s), (HIDDEN, HEADS), (HEADS,)]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(1, keepdims=True)
+def _surprise(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(softmax - what was there) / n, in place."""
+    if z.max() > 60:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (np.float32(1 / n) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z[np.arange(len(z)), at] -= np.float32(1 / n)
     return z
 
 
 def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax of each row at one place; spoils ``z``."""
-    rows = np.arange(len(z))
-    z -= z.max(1, keepdims=True)
-    own = z[rows, at]
+    if len(z) and z.max() > 60:
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 def _runs(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -200,36 +202,33 @@ class Network:
         embed, first, b1, w2, b2, w3, b3, w4, b4 = self.parts
         squares = [state[a:e].reshape(p.shape) for (a, e), p in zip(self.cuts, self.parts)]
 
-        def step(k: int, grad: np.ndarray, at=slice(None)) -> None:
+        def step(k: int, grad: np.ndarray, at=...) -> None:
             s = squares[k][at]
             s += grad * grad
-            self.parts[k][at] -= rate * grad / np.sqrt(s + 1e-8)
+            if at is not ... and not isinstance(at, int):
+                squares[k][at] = s
+            grad *= rate / np.sqrt(s + np.float32(1e-8))
+            self.parts[k][at] -= grad
 
         n = len(member)
         e = embed[context].reshape(n, -1)
         h = np.tanh(e @ first.reshape(-1, HIDDEN) + b1)
         group, inside = np.divmod(member, self.v.side)
-        z = _softmax(h @ w2 + b2)
-        z[np.arange(n), group] -= 1
-        z /= n
+        z = _surprise(h @ w2 + b2, group, n)
         d = z @ w2.T
         step(3, h.T @ z)
         step(4, z.sum(0))
         order, runs = _runs(group)
         hs, ins, back = h[order], inside[order], np.empty_like(h)
         for g, a, b in runs:
-            z = _softmax(hs[a:b] @ w3[g] + b3[g])
-            z[np.arange(b - a), ins[a:b]] -= 1
-            z /= n
+            z = _surprise(hs[a:b] @ w3[g] + b3[g], ins[a:b], n)
             back[a:b] = z @ w3[g].T
             step(5, hs[a:b].T @ z, g)
             step(6, z.sum(0), g)
         d[order] += back
         shared = np.flatnonzero(head >= 0)
         if len(shared):
-            z = _softmax(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own])
-            z[np.arange(len(shared)), head[shared]] -= 1
-            z /= n
+            z = _surprise(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared], n)
             d[shared] += z @ w4.T
             step(7, h[shared].T @ z)
             step(8, z.sum(0))
@@ -237,11 +236,11 @@ class Network:
         under = (d @ first.reshape(-1, HIDDEN).T).reshape(-1, EMBED)
         step(1, (e.T @ d).reshape(first.shape))
         step(2, d.sum(0))
-        which, at = np.unique(context.ravel(), return_inverse=True)
-        grad = np.empty((len(which), EMBED), np.float32)
-        for k in range(EMBED):
-            grad[:, k] = np.bincount(at, under[:, k], len(which))
-        step(0, grad, which)
+        flat = context.ravel()
+        order = np.argsort(flat.astype(np.int16) if self.v.leaves < 1 << 15 else flat, kind="stable")  # a radix sort
+        by = flat[order]
+        first_of = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+        step(0, np.add.reduceat(under[order], first_of, axis=0), by[first_of])
 
 
 def windows(c: np.ndarray, ptr: np.ndarray, beyond: int) -> np.ndarray:
@@ -391,7 +390,7 @@ class WindowLM:
             part = rows.where((F.col("turn") >= first) & (F.col("turn") < first + share)).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
             first += share
             shared = docs.sparkSession.sparkContext.broadcast((v, net.flat, state))
-            trained = part.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "text").mapInArrow(_train(shared), "n long, weights binary")
+            trained = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h").select("shard", "text").mapInArrow(_train(shared), "n long, weights binary")
             merged = trained.withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16))).groupBy("salt").applyInArrow(_merge, "n long, weights binary")
             merged = merged.groupBy(F.lit(0).alias("all")).applyInArrow(_merge, "n long, weights binary").first()
             if merged is not None and merged["n"]:
