@@ -7,7 +7,7 @@ document is the sum of its words' conditional log-probabilities
         [+ log p(beginning | member, window) + log p(word | member, beginning)].
 
 There are ``side`` groups of ``side`` members, ``side`` being 3/2 times the fourth root of the distinct
-words (48 at least).  The most frequent words fill three quarters of the members, each a member of its own, in
+words (48 at least, a multiple of 4).  The most frequent words fill three quarters of the members, each a member of its own, in
 bands of frequency.  All other words share the rest by their last two bytes; inside such a member
 a softmax over beginnings, with the corpus's counts as prior, takes the window to the word, and
 the last factor comes from exact counts: the most frequent ``in_memory`` words are looked up, the
@@ -50,13 +50,13 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS = (16, 48, 192)
 BATCH = 4096
 BUFFER = 1 << 16  # words that are shuffled at a time
-SCORED = 1 << 15  # words that are scored at a time
+SCORED = 1 << 13  # words that are scored at a time
 #: Weights are rounded to this before they are added up, so that no order of adding matters.
 GRAIN = 2.0**-14
 
 
 def side_of(distinct: int) -> int:
-    return max(LEAST_SIDE, 3 * math.isqrt(math.isqrt(distinct)) // 2)
+    return max(LEAST_SIDE, -(-3 * math.isqrt(math.isqrt(distinct)) // 8) * 4)
 
 
 @dataclass
@@ -149,12 +149,10 @@ def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def _runs(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order that sorts by group, and (group, first, end) of each run of it."""
-    order = np.argsort(group, kind="stable")
-    by = group[order]
-    at = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
-    return order, list(zip(by[at].tolist(), at.tolist(), [*at[1:].tolist(), len(by)]))
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, first, end) of each run of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return list(zip(group[at].tolist(), at.tolist(), [*at[1:].tolist(), len(group)]))
 
 
 class Network:
@@ -184,17 +182,21 @@ class Network:
     def log_probability(self, context: np.ndarray, member: np.ndarray, head: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Of member, and of beginning where there is one, given the members around."""
         _, _, b1, w2, b2, w3, b3, w4, b4 = self.parts
-        h = np.tanh(sum(tables[s][context[:, s]] for s in range(len(SIDES))) + b1)
+        order = np.argsort((member // self.v.side).astype(np.int16), kind="stable")  # a radix sort
+        member, head, context = member[order], head[order], context[order]
+        h = tables[0][context[:, 0]]
+        for s in range(1, len(SIDES)):
+            h += tables[s][context[:, s]]
+        h += b1
+        np.tanh(h, out=h)
         group, inside = np.divmod(member, self.v.side)
-        out = _log_at(h @ w2 + b2, group).astype(np.float64)
-        order, runs = _runs(group)
-        hs, ins = h[order], inside[order]
-        part = np.empty(len(order))
-        for g, a, b in runs:
-            part[a:b] = _log_at(hs[a:b] @ w3[g] + b3[g], ins[a:b])
-        out[order] += part
+        part = _log_at(h @ w2 + b2, group)
+        for g, a, b in _runs(group):
+            part[a:b] += _log_at(h[a:b] @ w3[g] + b3[g], inside[a:b])
         shared = np.flatnonzero(head >= 0)
-        out[shared] += _log_at(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared])
+        part[shared] += _log_at(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared])
+        out = np.empty(len(part))
+        out[order] = part
         return out
 
     def train(self, context: np.ndarray, member: np.ndarray, head: np.ndarray, state: np.ndarray, rate: float = 0.1) -> None:
@@ -211,6 +213,8 @@ class Network:
             self.parts[k][at] -= grad
 
         n = len(member)
+        order = np.argsort((member // self.v.side).astype(np.int16), kind="stable")  # a radix sort
+        member, head, context = member[order], head[order], context[order]
         e = embed[context].reshape(n, -1)
         h = np.tanh(e @ first.reshape(-1, HIDDEN) + b1)
         group, inside = np.divmod(member, self.v.side)
@@ -218,19 +222,17 @@ class Network:
         d = z @ w2.T
         step(3, h.T @ z)
         step(4, z.sum(0))
-        order, runs = _runs(group)
-        hs, ins, back = h[order], inside[order], np.empty_like(h)
-        for g, a, b in runs:
-            z = _surprise(hs[a:b] @ w3[g] + b3[g], ins[a:b], n)
-            back[a:b] = z @ w3[g].T
-            step(5, hs[a:b].T @ z, g)
+        for g, a, b in _runs(group):
+            z = _surprise(h[a:b] @ w3[g] + b3[g], inside[a:b], n)
+            d[a:b] += z @ w3[g].T
+            step(5, h[a:b].T @ z, g)
             step(6, z.sum(0), g)
-        d[order] += back
         shared = np.flatnonzero(head >= 0)
         if len(shared):
-            z = _surprise(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared], n)
-            d[shared] += z @ w4.T
-            step(7, h[shared].T @ z)
+            tail = slice(shared[0], None) if shared[-1] - shared[0] == len(shared) - 1 == n - 1 - shared[0] else shared  # groups of shared members come last
+            z = _surprise(h[tail] @ w4 + b4 + self.prior[member[tail] - self.v.own], head[tail], n)
+            d[tail] += z @ w4.T
+            step(7, h[tail].T @ z)
             step(8, z.sum(0))
         d *= 1 - h * h
         under = (d @ first.reshape(-1, HIDDEN).T).reshape(-1, EMBED)
