@@ -53,11 +53,18 @@ def chunk_window(*keys: str, ordinal: str = ORD):
     return Window.partitionBy(*keys, "__chunk").orderBy(ordinal)
 
 
-def running_sum(df: DataFrame, value: str, out: str, keys: tuple[str, ...], ordinal: str, chunk: int = CHUNK) -> DataFrame:
-    """A cumulative sum along the ordinal within ``keys``: partial sums by chunk, then within chunks."""
+def running_sum(df: DataFrame, value: str | dict[str, str], out: str | None, keys: tuple[str, ...], ordinal: str, chunk: int = CHUNK) -> DataFrame:
+    """Cumulative sums along the ordinal within ``keys``: partial sums by chunk, then within chunks.
+
+    ``value`` and ``out`` name one column and its sum, or ``value`` maps several to theirs: one pass for all.
+    """
+    sums = value if isinstance(value, dict) else {value: out}
     df = df.withColumn("__chunk", F.floor(F.col(ordinal) / chunk).cast("long"))
-    totals = df.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__t"))
-    earlier = F.sum("__t").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*keys, "__chunk", F.coalesce(earlier, F.lit(0)).alias("__e"))
-    inside = F.sum(value).over(Window.partitionBy(*keys, "__chunk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__i", inside).join(totals, [*keys, "__chunk"]).withColumn(out, F.col("__e") + F.col("__i")).drop("__chunk", "__i", "__e")
+    totals = df.groupBy(*keys, "__chunk").agg(*(F.sum(v).alias(f"__t{k}") for k, v in enumerate(sums)))
+    chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__chunk", *(F.coalesce(F.sum(f"__t{k}").over(chunks), F.lit(0)).alias(f"__e{k}") for k in range(len(sums))))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.select("*", *(F.sum(v).over(inside).alias(f"__i{k}") for k, v in enumerate(sums))).join(totals, [*keys, "__chunk"])
+    for k, name in enumerate(sums.values()):
+        df = df.withColumn(name, F.col(f"__e{k}") + F.col(f"__i{k}")).drop(f"__e{k}", f"__i{k}")
+    return df.drop("__chunk")

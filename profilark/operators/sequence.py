@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from profilark.functions.cluster import materialize, ship
-from profilark.functions.scalar import avoid, phi
+from profilark.functions.scalar import miss_chance, normal_below
 from profilark.operators.canon import SCALARS, canonical, stacks, value_counts
 from profilark.operators.contract import Technique, by_frame, union
 from profilark.operators.order import CHUNK, ORD, chunk_window, running_sum, with_halo, with_ordinal
@@ -61,7 +61,7 @@ class RunsTest(Technique):
                 m, runs, s2, s3 = r["n_rows"], r["n_runs"], int(r["s2"]), int(r["s3"])
                 expected, variance = moments(m, s2, s3)
                 z = ((m * (runs - 1) - (m * m - s2)) / m) / math.sqrt(variance) if variance > 0 else math.nan
-                rows.append((n, r["col"], m, runs, float(expected), z, math.nan if math.isnan(z) else phi(z), m / runs))
+                rows.append((n, r["col"], m, runs, float(expected), z, math.nan if math.isnan(z) else normal_below(z), m / runs))
             out.append(df.sparkSession.createDataFrame(rows, "df_a string, col_a string, n_rows long, n_runs long, expected_runs double, z double, p_value double, mean_run_length double"))
         return union(out)
 
@@ -145,11 +145,11 @@ class MinMaxIndex(_SkipIndex):
         if not d:
             return {"expected_skip_rows": math.nan, "expected_skip_values": math.nan}
         ship(ids.sparkSession)
-        all_null = avoid(n, w, nn)
+        all_null = float(miss_chance(n, w, nn))
 
         @F.pandas_udf("double")
         def chance(below: pd.Series, cnt: pd.Series) -> pd.Series:
-            return pd.Series([avoid(n, w, int(b + c)) + avoid(n, w, int(nn - b)) - all_null for b, c in zip(below, cnt)])
+            return pd.Series(miss_chance(n, w, (below + cnt).to_numpy()) + miss_chance(n, w, (nn - below).to_numpy()) - all_null)
 
         r = ids.withColumn("p", chance("below", "cnt")).agg(F.sum(F.col("cnt") * F.col("p")).alias("rows"), F.sum("p").alias("values")).first()
         return {"expected_skip_rows": r["rows"] / nn, "expected_skip_values": r["values"] / d}
@@ -184,8 +184,7 @@ class SetIndex(_SkipIndex):
         steps = steps.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("present", "mass", "nulls")))
         starts = ranked.select(F.col(ORD).alias("at")).where(f"at < {k}").join(steps, "at", "left").na.fill(0).withColumn("one", F.lit(0))
         starts = materialize(starts, "steps")
-        for c in ("present", "mass", "nulls"):
-            starts = running_sum(starts, c, f"{c}_now", ("one",), "at")
+        starts = running_sum(starts, {c: f"{c}_now" for c in ("present", "mass", "nulls")}, None, ("one",), "at")
         entries = F.col("present_now") + (F.col("nulls_now") > 0).cast("int")
         over = entries > self.max_size if self.max_size else F.lit(False)
         windows = starts.select(entries.alias("entries"), over.alias("over"), F.when(over, 0).otherwise(nn - F.col("mass_now")).alias("rows"), F.when(over, 0).otherwise(d - F.col("present_now")).alias("values"))
@@ -196,30 +195,31 @@ class SetIndex(_SkipIndex):
     def _baseline(self, values: dict[int, int], n_null: int, n: int, w: int) -> dict[str, float]:
         """Expectations of a random order over classes of equally frequent entries (null is an entry).
 
-        An entry of c rows is in a window with probability 1 - avoid(n, w, c); the number of entries is
+        An entry of c rows is in a window with probability 1 - miss_chance(n, w, c); the number of entries is
         taken as normal where a limit makes its distribution matter.
         """
         sizes = np.array(sorted({*values, *([n_null] if n_null else [])}), np.int64)
         distinct = np.array([values.get(int(c), 0) for c in sizes], float)
         members = distinct + (sizes == n_null) * bool(n_null)
-        missing = np.array([avoid(n, w, int(c)) for c in sizes])
+        missing = miss_chance(n, w, sizes)
         expected = float(members @ (1 - missing))
-        spread = 0.0
-        if self.max_size and len(sizes):
-            together = np.array([[avoid(n, w, int(a + b)) for b in sizes] for a in sizes]) - np.outer(missing, missing)
-            others = np.outer(members, members) - np.diag(members)
-            spread = math.sqrt(max(0.0, float(members @ (missing * (1 - missing)) + (others * together).sum())))
+        variance = 0.0
+        if self.max_size:  # row by row of the matrix of joint chances, which is never held whole
+            for i, c in enumerate(sizes.tolist()):
+                others = members * members[i]
+                others[i] -= members[i]
+                variance += float(members[i] * missing[i] * (1 - missing[i]) + others @ (miss_chance(n, w, sizes + c) - missing * missing[i]))
+        spread = math.sqrt(max(0.0, variance))
 
         def room(mean: float) -> float:
             slack = self.max_size + 0.5 - mean
-            return 1.0 if not self.max_size else phi(slack / spread) if spread > 0 else float(slack >= 0)
+            return 1.0 if not self.max_size else normal_below(slack / spread) if spread > 0 else float(slack >= 0)
 
         skip = missing.copy()
         if self.max_size:
             for i in np.flatnonzero((missing > 0) & (distinct > 0)):
                 left = members - (np.arange(len(sizes)) == i)
-                rest = n - int(sizes[i])
-                skip[i] *= room(sum(k * (1 - avoid(rest, w, int(c))) for c, k in zip(sizes, left) if k))
+                skip[i] *= room(float(left @ (1 - miss_chance(n - int(sizes[i]), w, sizes))))
         rows, kinds = float(distinct @ sizes), float(distinct.sum())
         return {
             "expected_skip_rows": float(distinct @ (sizes * skip)) / rows if rows else math.nan,

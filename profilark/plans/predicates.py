@@ -38,27 +38,79 @@ def usable(value: Column, dtype: T.DataType) -> Column:
     return value.isNotNull() & ~F.isnan(value) if isinstance(dtype, FLOATS) else value.isNotNull()
 
 
-def choose_range(df: DataFrame, column: str, fraction: float, seed: int = 0) -> Query:
-    """``BETWEEN`` two values that hold about this share of all rows, from a seeded place in value order.
+#: Buckets of a histogram when a rank is looked up.
+BUCKETS = 1024
 
-    Only the counts of distinct values are ordered (by range partitions); the two bounds are looked up.
+
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list:
+    """The values at these places (from 0) of a numeric or temporal column in ascending order.
+
+    No sort: histograms of equal widths, each of one scan that gathers ``BUCKETS`` counts a rank, close in on
+    every rank at once, until its bucket holds one value.
+    """
+    kind = df.schema[column].dataType
+    number = F.unix_micros(F.col(column).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.unix_date(F.col(column)) if isinstance(kind, T.DateType) else F.col(column)
+    real = isinstance(kind, FLOATS)
+    rows = df.where(usable(F.col(column), kind)).select(F.col(column).alias("v"), number.cast("double" if real else "decimal(38,0)" if isinstance(kind, T.DecimalType) else "bigint").alias("x"))
+    ends = rows.agg(F.min("x"), F.max("x")).first()
+    spans = {r: (ends[0], ends[1], 0) for r in ranks}  # a rank lies among the values lo .. hi, with so many below lo
+    out = {}
+    while spans:
+        wide = sorted({(lo, hi, below) for lo, hi, below in spans.values()})
+        step = {s: (s[1] - s[0]) / BUCKETS if real else -((s[0] - s[1]) // BUCKETS) or 1 for s in wide}
+        cell = F.lit(None)
+        for k, s in enumerate(wide):
+            if math.isinf(s[0]) or math.isinf(s[1]):  # infinite ends stand alone
+                where = F.when(F.col("x") == s[0], 0).when(F.col("x") == s[1], 2).otherwise(1)
+            elif math.isinf(step[s]):
+                where = F.when(F.col("x") <= s[0] / 2 + s[1] / 2, 0).otherwise(1)
+            elif not step[s]:
+                where = F.when(F.col("x") < s[1], 0).otherwise(1)
+            else:
+                where = F.floor((F.col("x") - F.lit(s[0])) / F.lit(step[s])).cast("int")
+            cell = F.when(F.col("x").between(F.lit(s[0]), F.lit(s[1])), F.struct(F.lit(k).alias("span"), where.alias("cell"))).otherwise(cell)
+        got = rows.select("v", "x", cell.alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("v").alias("v"))
+        by = {}
+        for r in sorted(got.collect(), key=lambda r: (r["c"]["span"], r["lo"])):
+            by.setdefault(r["c"]["span"], []).append(r)
+        for r, s in list(spans.items()):
+            below = s[2]
+            for c in by[wide.index(s)]:
+                if r < below + c["n"]:
+                    if c["lo"] == c["hi"]:
+                        out[r] = c["v"]
+                        del spans[r]
+                    else:
+                        spans[r] = (c["lo"], c["hi"], below)
+                    break
+                below += c["n"]
+    return [out[r] for r in ranks]
+
+
+def choose_range(df: DataFrame, column: str, fraction: float, seed: int = 0, start: int | None = None) -> Query:
+    """``BETWEEN`` two values that hold about this share of all rows, from a seeded (or given) place in value order.
+
+    The bounds of numbers and times are looked up by histograms; of other types the counts of distinct
+    values are ordered (by range partitions).
     """
     if not 0 < fraction <= 1:
         raise ValueError("fraction: above 0, at most 1")
     dtype = df.schema[column].dataType
-    total = df.count()
-    counts = df.where(usable(F.col(column), dtype)).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("cnt"))
-    n = counts.agg(F.sum("cnt")).first()[0] or 0
+    good = usable(F.col(column), dtype)
+    total, n = df.agg(F.count("*"), F.count_if(good)).first()
     if not n:
         raise ValueError(f"{column} has no values to choose")
     take = max(1, min(n, round(fraction * total)))
-    start = random.Random(seed).randrange(n - take + 1)
-    from profilark.operators.order import running_sum
-
-    placed = running_sum(with_ordinal(counts, ["v"], "id").withColumn("one", F.lit(0)), "cnt", "upto", ("one",), "id")
-    lo = placed.where(F.col("upto") > start).agg(F.min("v")).first()[0]
-    hi = placed.where(F.col("upto") > start + take - 1).agg(F.min("v")).first()[0]
-    held = df.where(F.col(column).between(F.lit(lo), F.lit(hi)) & usable(F.col(column), dtype)).count()
+    start = random.Random(seed).randrange(n - take + 1) if start is None else max(0, min(start, n - take))
+    if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) and not (isinstance(dtype, T.DecimalType) and dtype.scale):
+        lo, hi = at_ranks(df, column, [start, start + take - 1])
+    else:
+        from profilark.operators.order import running_sum
+
+        counts = df.where(good).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("cnt"))
+        placed = running_sum(with_ordinal(counts, ["v"], "id").withColumn("one", F.lit(0)), "cnt", "upto", ("one",), "id")
+        lo, hi = placed.agg(F.min(F.when(F.col("upto") > start, F.col("v"))), F.min(F.when(F.col("upto") > start + take - 1, F.col("v")))).first()
+    held = df.where(F.col(column).between(F.lit(lo), F.lit(hi)) & good).count()
     return Query("filter", column, (lo, hi), "between", held / total)
 
 
