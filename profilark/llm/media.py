@@ -2,12 +2,17 @@
 
 ``store`` wraps bytes as 8-bit PCM samples in a RIFF/WAVE file and ``load`` reads them back.
 ``features`` resamples with a polyphase FIR filter, takes overlapped windowed spectra to log-mel
-bands, cuts them into fixed-shape tiles (``TILE`` frames x ``MELS`` bands, the last one padded
-with its floor) and finds active segments by hysteresis on the frame energy.  Tiles and
-segments carry time spans.  ``tensor_table`` gives the tiles as Arrow fixed-shape tensors.
+bands, stores them as an Arrow column of fixed-shape tensors (``TILE`` frames x ``MELS`` bands, the
+last one padded with its floor) with the time span of each, reads that column back, describes it,
+and finds active segments by hysteresis on the frame energy.
 
-Signals are worked through in blocks of a fixed number of frames, so memory is bounded for any
-length and equal signals give equal bits wherever they stand in a batch.
+``media_columns`` gives for each row the stored file, the stored tensor column (an Arrow IPC stream),
+the spans and the description; ``media_digest`` the same without the two stored forms, of which it
+has sizes and hashes; ``media_tiles`` one row for each tile.
+
+Signals are worked through, and tensors stored, in blocks of a fixed number of frames, so memory is
+bounded for any length (but for the stored forms where they are asked for) and equal signals give
+equal bits wherever they stand in a batch.
 
 Definitions.  A null value is an empty one.  Payloads are padded with 255 to a positive multiple
 of ``PAD`` bytes.  Ids may be null or repeat; each row stands for itself.
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 
 from profilark.functions.cluster import ship
 from profilark.llm import textscan as ts
+from profilark.llm.columns import named, typed
 
 PAD = 576
 MELS, TILE = 40, 64
@@ -143,26 +149,64 @@ def segments(energy: np.ndarray, rise: float = 1.0, fall: float = -1.0, least: i
     return runs[runs[:, 1] - runs[:, 0] + 1 >= least]
 
 
-def features(samples: np.ndarray, bank: Bank = DEFAULT, tiles: bool = True) -> tuple[list[np.ndarray], np.ndarray, dict]:
-    """Tiles (TILE x MELS), active segments and a summary of a signal of 8-bit samples."""
-    out, energies, rest = [], [], None
-    total, squares, sha, n = np.zeros(MELS), 0.0, hashlib.sha256(), 0
-    for mel, energy in bank.log_mel(samples):
-        energies.append(energy)
-        total += mel.sum(0, dtype=np.float64)
-        squares += float((mel.astype(np.float64) ** 2).sum())
-        n += len(mel)
-        sha.update(np.round(mel * 16).astype("<i2").tobytes())
-        if tiles:
-            out += [*mel[: len(mel) // TILE * TILE].reshape(-1, TILE, MELS)]
-            rest = mel[len(mel) // TILE * TILE :]
-            if len(rest):
-                out.append(np.concatenate([rest, np.full((TILE - len(rest), MELS), np.log(np.float32(1e-6)), np.float32)]))
-    energy = np.concatenate(energies)
-    found = segments(energy)
-    mean = total / n
-    summary = {"frames": n, "mean": mean, "deviation": float(np.sqrt(max(0.0, squares / (n * MELS) - float((total.sum() / (n * MELS)) ** 2)))), "sha": sha.hexdigest()}
-    return out, found, summary
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (TILE, MELS))
+TILES = pa.schema([("tensor", TENSOR), ("from_ms", pa.int64()), ("to_ms", pa.int64())])
+FLOOR = np.log(np.float32(1e-6))
+
+
+def store_tiles(mel: np.ndarray, first: int, ms: int) -> pa.Buffer:
+    """Frames (from frame ``first`` on) as an Arrow stream of tensors with their time spans."""
+    n = -(-len(mel) // TILE)
+    values = np.full((n * TILE, MELS), FLOOR, np.float32)
+    values[: len(mel)] = mel
+    start = first + np.arange(n, dtype=np.int64) * TILE
+    end = np.minimum(start + TILE, first + len(mel))
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(values.reshape(n, TILE, MELS)), pa.array(start * ms), pa.array(end * ms)], schema=TILES)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TILES) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
+
+
+def load_tiles(stored: pa.Buffer | bytes) -> pa.RecordBatch:
+    """The tensors and spans of such a stream."""
+    with pa.ipc.open_stream(stored) as stream:
+        return stream.read_next_batch()
+
+
+def features(samples: np.ndarray, bank: Bank = DEFAULT) -> tuple[Iterator, dict]:
+    """Stored blocks of tiles, one after another, and a summary that is complete when they have been taken."""
+    ms = 1000 * bank.hop // bank.target
+    summary: dict = {}
+
+    def run() -> Iterator[pa.Buffer]:
+        energies, total, squares, n = [], np.zeros(MELS), 0.0, 0
+        sha, stored_sha, size, spans = hashlib.sha256(), hashlib.sha256(), 0, []
+        for mel, energy in bank.log_mel(samples):
+            energies.append(energy)
+            stored = store_tiles(mel, n, ms)
+            back = load_tiles(stored)
+            mel = back.column(0).to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
+            spans.append(np.stack([back.column(1).to_numpy(), back.column(2).to_numpy()], axis=1))
+            total += mel.sum(0, dtype=np.float64)
+            squares += float((mel.astype(np.float64) ** 2).sum())
+            n += len(mel)
+            sha.update(np.round(mel * 16).astype("<i2").tobytes())
+            stored_sha.update(stored)
+            size += stored.size
+            yield stored
+        found = segments(np.concatenate(energies))
+        on = np.zeros(n + 1, np.int64)
+        for a, b in found:
+            on[a + 1 : b + 2] = 1
+        np.cumsum(on, out=on)
+        spans = np.concatenate(spans)
+        active = (on[spans[:, 1] // ms] - on[spans[:, 0] // ms]) * ms
+        mean = total / n
+        deviation = float(np.sqrt(max(0.0, squares / (n * MELS) - float((total.sum() / (n * MELS)) ** 2))))
+        summary.update(frames=n, mean=mean, deviation=deviation, sha=sha.hexdigest(), found=found, spans=np.column_stack([spans, active]), tensor_bytes=size, tensor_sha=stored_sha.hexdigest())
+
+    return run(), summary
 
 
 def describe(found: np.ndarray, summary: dict, bank: Bank = DEFAULT) -> str:
@@ -174,24 +218,36 @@ def describe(found: np.ndarray, summary: dict, bank: Bank = DEFAULT) -> str:
     return f"frames={summary['frames']};hop_ms={ms};mel={mel};sd={summary['deviation']:.2f};segments={len(found)};active_ms={active * ms};first_ms={first};logmel_sha256={summary['sha']}"
 
 
-_DIGEST = "id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long, duration_ms long"
-_TABLE = "id {id}, media binary, tile int, from_ms long, to_ms long, active_ms long, tensor array<float>"
+_SPANS = "array<struct<from_ms: long, to_ms: long, active_ms: long>>"
+_DIGEST = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long, duration_ms long, n_tiles long, tensor_bytes long, tensor_sha256 string, spans {_SPANS}"
+_TABLE = "media binary, tile int, from_ms long, to_ms long, active_ms long, tensor array<float>"
+_SPAN = pa.list_(pa.struct([("from_ms", pa.int64()), ("to_ms", pa.int64()), ("active_ms", pa.int64())]))
 
 
-def _digest(bank: Bank):
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments", "duration_ms"]
+def _digest(bank: Bank, keep: bool):
+    names = ["id", *(c.split()[0] for c in _DIGEST.split("<")[0].split(", "))] + ["media", "tensors"] * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in ts.slices(whole, "data"):
-                rows = []
+                rows, spans, held = [], [], []
                 for value in part.column(1):
                     data = value.as_py() or b""
                     media = store(pad(data), bank.rate)
                     payload, rate = load(media)
-                    _, found, summary = features(np.frombuffer(payload, np.uint8), bank, tiles=False)
-                    rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(found, summary, bank), len(found), 1000 * len(payload) // rate))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(x)) for x in zip(*rows))], names=names)
+                    blocks, x = features(np.frombuffer(payload, np.uint8), bank)
+                    kept = [b for b in blocks if keep]
+                    rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(x["found"], x, bank), len(x["found"]), 1000 * len(payload) // rate, len(x["spans"]), x["tensor_bytes"], x["tensor_sha"]))
+                    spans.append(x["spans"])
+                    if keep:
+                        held.append((media, [b.to_pybytes() for b in kept]))
+                ptr = np.append(0, np.cumsum([len(x) for x in spans])).astype(np.int32)
+                flat = np.concatenate(spans)
+                span = pa.ListArray.from_arrays(pa.array(ptr), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)], fields=list(_SPAN.value_type)))
+                out = [part.column(0), *(pa.array(list(x)) for x in zip(*rows)), span]
+                if keep:
+                    out += [pa.array([m for m, _ in held], pa.binary()), pa.array([b for _, b in held], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
@@ -200,26 +256,23 @@ def _tiles(bank: Bank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(len(whole)):
-                data = whole.column(1)[i].as_py() or b""
-                media = store(pad(data), bank.rate)
-                cut, found, summary = features(np.frombuffer(load(media)[0], np.uint8), bank)
-                ms = 1000 * bank.hop // bank.target
-                on = np.zeros(summary["frames"] + 1, np.int32)
-                for a, b in found:
-                    on[a : b + 1] = 1
-                for first in range(0, len(cut), 64):
-                    some = cut[first : first + 64]
-                    k = np.arange(first, first + len(some))
-                    end = np.minimum((k + 1) * TILE, summary["frames"])
+                media = store(pad(whole.column(1)[i].as_py() or b""), bank.rate)
+                samples = np.frombuffer(load(media)[0], np.uint8)
+                blocks, x = features(samples, bank)
+                for _ in blocks:  # spans are known when all has been seen
+                    pass
+                first, (again, _) = 0, features(samples, bank)
+                for stored in again:
+                    flat = load_tiles(stored).column(0).storage.flatten()
+                    k = np.arange(first, first + len(flat) // (TILE * MELS))
+                    first += len(k)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            whole.column(0).take(pa.array([i] * len(some), pa.int64())),
+                            whole.column(0).take(pa.array([i] * len(k), pa.int64())),
                             pa.array([media if j == 0 else None for j in k.tolist()], pa.binary()),
                             pa.array(k.astype(np.int32)),
-                            pa.array(k * TILE * ms),
-                            pa.array(end * ms),
-                            pa.array([int(on[a:b].sum()) * ms for a, b in zip((k * TILE).tolist(), end.tolist())], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TILE * MELS), pa.array(np.concatenate(some).ravel())),
+                            *(pa.array(np.ascontiguousarray(x["spans"][k, c])) for c in range(3)),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * TILE * MELS), flat),
                         ],
                         names=["id", "media", "tile", "from_ms", "to_ms", "active_ms", "tensor"],
                     )
@@ -227,27 +280,32 @@ def _tiles(bank: Bank):
     return run
 
 
-def _input(docs: DataFrame, id_col: str, data_col: str) -> tuple[DataFrame, str]:
+def _input(docs: DataFrame, id_col: str, data_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(data_col).cast("binary").alias("data"))
-    return rows, rows.schema["id"].dataType.simpleString()
+    return docs.select(named(id_col).alias("id"), named(data_col).cast("binary").alias("data"))
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", bank: Bank = DEFAULT) -> DataFrame:
-    """One row per input row: checksums of payload and stored form, and the features in one line."""
-    rows, kind = _input(docs, id_col, data_col)
-    return rows.mapInArrow(_digest(bank), _DIGEST.format(id=kind)).withColumnRenamed("id", id_col)
+    """One row per input row: checksums of payload and stored forms, the features in one line, the tiles' spans."""
+    rows = _input(docs, id_col, data_col)
+    return rows.mapInArrow(_digest(bank, False), typed(rows, "id", _DIGEST)).withColumnRenamed("id", id_col)
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", bank: Bank = DEFAULT) -> DataFrame:
+    """As ``media_digest``, with the stored file (``media``) and the stored blocks of tensors (``tensors``, for ``load_tiles``)."""
+    rows = _input(docs, id_col, data_col)
+    return rows.mapInArrow(_digest(bank, True), typed(rows, "id", _DIGEST + ", media binary, tensors array<binary>")).withColumnRenamed("id", id_col)
 
 
 def media_tiles(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", bank: Bank = DEFAULT) -> DataFrame:
     """One row per tile: its time span, active time and values; the stored file stands with tile 0."""
-    rows, kind = _input(docs, id_col, data_col)
-    return rows.mapInArrow(_tiles(bank), _TABLE.format(id=kind)).withColumnRenamed("id", id_col)
+    rows = _input(docs, id_col, data_col)
+    return rows.mapInArrow(_tiles(bank), typed(rows, "id", _TABLE)).withColumnRenamed("id", id_col)
 
 
 def tensor_table(tiles: pa.Table) -> pa.Table:
     """Arrow table of ``media_tiles`` rows with ``tensor`` as a fixed-shape tensor column (TILE x MELS)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (TILE, MELS))
+    kind = TENSOR
     flat = tiles.column("tensor").combine_chunks()
     values = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
     storage = pa.FixedSizeListArray.from_arrays(values.cast(pa.float32()), TILE * MELS)
