@@ -50,6 +50,7 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS = (16, 48, 192)
 BATCH = 4096
 BUFFER = 1 << 16  # words that are shuffled at a time
+FAN_IN = 32  # vectors of weights that one task adds up
 SCORED = 1 << 13  # words that are scored at a time
 #: Weights are rounded to this before they are added up, so that no order of adding matters.
 GRAIN = 2.0**-14
@@ -191,8 +192,10 @@ class Network:
         np.tanh(h, out=h)
         group, inside = np.divmod(member, self.v.side)
         part = _log_at(h @ w2 + b2, group)
+        z = b3[group]
         for g, a, b in _runs(group):
-            part[a:b] += _log_at(h[a:b] @ w3[g] + b3[g], inside[a:b])
+            z[a:b] += h[a:b] @ w3[g]
+        part += _log_at(z, inside)
         shared = np.flatnonzero(head >= 0)
         part[shared] += _log_at(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared])
         out = np.empty(len(part))
@@ -207,7 +210,7 @@ class Network:
         def step(k: int, grad: np.ndarray, at=...) -> None:
             s = squares[k][at]
             s += grad * grad
-            if at is not ... and not isinstance(at, int):
+            if at is not ...:
                 squares[k][at] = s
             grad *= rate / np.sqrt(s + np.float32(1e-8))
             self.parts[k][at] -= grad
@@ -222,11 +225,17 @@ class Network:
         d = z @ w2.T
         step(3, h.T @ z)
         step(4, z.sum(0))
-        for g, a, b in _runs(group):
-            z = _surprise(h[a:b] @ w3[g] + b3[g], inside[a:b], n)
-            d[a:b] += z @ w3[g].T
-            step(5, h[a:b].T @ z, g)
-            step(6, z.sum(0), g)
+        runs, z = _runs(group), b3[group]
+        for g, a, b in runs:
+            z[a:b] += h[a:b] @ w3[g]
+        _surprise(z, inside, n)
+        here = np.array([g for g, _, _ in runs])
+        inner = np.empty((len(runs), HIDDEN, self.v.side), np.float32)
+        for k, (g, a, b) in enumerate(runs):
+            d[a:b] += z[a:b] @ w3[g].T
+            np.matmul(h[a:b].T, z[a:b], out=inner[k])
+        step(5, inner, here)
+        step(6, np.add.reduceat(z, [a for _, a, _ in runs], axis=0), here)
         shared = np.flatnonzero(head >= 0)
         if len(shared):
             tail = slice(shared[0], None) if shared[-1] - shared[0] == len(shared) - 1 == n - 1 - shared[0] else shared  # groups of shared members come last
@@ -235,14 +244,15 @@ class Network:
             step(7, h[tail].T @ z)
             step(8, z.sum(0))
         d *= 1 - h * h
-        under = (d @ first.reshape(-1, HIDDEN).T).reshape(-1, EMBED)
+        under = (first.reshape(-1, HIDDEN) @ d.T).reshape(len(SIDES), EMBED, n).transpose(1, 0, 2).reshape(EMBED, -1)
         step(1, (e.T @ d).reshape(first.shape))
         step(2, d.sum(0))
-        flat = context.ravel()
-        order = np.argsort(flat.astype(np.int16) if self.v.leaves < 1 << 15 else flat, kind="stable")  # a radix sort
-        by = flat[order]
-        first_of = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-        step(0, np.add.reduceat(under[order], first_of, axis=0), by[first_of])
+        which = context.T.ravel().astype(np.int64)
+        some = np.flatnonzero(np.bincount(which, minlength=len(embed)))
+        grad = np.empty((len(some), EMBED), np.float32)
+        for k in range(EMBED):
+            grad[:, k] = np.bincount(which, under[k], len(embed))[some]
+        step(0, grad, some)
 
 
 def windows(c: np.ndarray, ptr: np.ndarray, beyond: int) -> np.ndarray:
@@ -300,7 +310,7 @@ def _train(shared):
         def result() -> pa.RecordBatch:
             learn(True)
             weights = np.concatenate([np.round(x.astype(np.float64) / GRAIN) * used for x in (net.flat, state)])
-            return pa.RecordBatch.from_arrays([pa.array([used]), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([used]), pa.array([weights.tobytes()], pa.binary())], names=["part", "n", "weights"])
 
         for whole in batches:
             shards = whole.column(0).to_numpy()
@@ -332,7 +342,7 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
         for k, w in zip(b.column(b.schema.get_field_index("n")).to_pylist(), b.column(b.schema.get_field_index("weights"))):
             n += k
             total = total + np.frombuffer(w.as_py(), np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "weights"])
 
 
 def _score(shared, joined: bool):
@@ -392,9 +402,12 @@ class WindowLM:
             part = rows.where((F.col("turn") >= first) & (F.col("turn") < first + share)).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
             first += share
             shared = docs.sparkSession.sparkContext.broadcast((v, net.flat, state))
-            trained = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h").select("shard", "text").mapInArrow(_train(shared), "n long, weights binary")
-            merged = trained.withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16))).groupBy("salt").applyInArrow(_merge, "n long, weights binary")
-            merged = merged.groupBy(F.lit(0).alias("all")).applyInArrow(_merge, "n long, weights binary").first()
+            merged = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h").select("shard", "text").mapInArrow(_train(shared), "part int, n long, weights binary")
+            left = shards
+            while left > 1:  # a tree, so that no task adds up more than so many
+                left = -(-left // FAN_IN)
+                merged = merged.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("part").applyInArrow(_merge, "part int, n long, weights binary")
+            merged = merged.first()
             if merged is not None and merged["n"]:
                 net_flat, state = np.split(np.frombuffer(merged["weights"], np.float64) * GRAIN / merged["n"], 2)
                 net, state = Network(v, net_flat), state.astype(np.float32)

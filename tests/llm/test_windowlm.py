@@ -127,7 +127,7 @@ def test_every_word_is_a_training_target_once(model):
     texts = ["one", "two short words", "the of and " * 40_000, "", None, "the end"]
     batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 0, 0, 3], pa.int32()), pa.array(texts, pa.string())], names=["shard", "text"])
     flat = model.network.flat
-    got = [b.column(0)[0].as_py() for b in lm._train(Shared((model.vocabulary, flat, np.zeros_like(flat))))([batch.slice(0, 2), batch.slice(2)])]
+    got = [b.column(1)[0].as_py() for b in lm._train(Shared((model.vocabulary, flat, np.zeros_like(flat))))([batch.slice(0, 2), batch.slice(2)])]
     assert got == [1 + 3 + 120_000, 2]
 
 
