@@ -421,3 +421,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from profilark.plans import bounds  # noqa: E402,F401  (registers its queries)
