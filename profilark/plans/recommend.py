@@ -7,13 +7,16 @@ by one aggregation over the column.  Everything that reaches the driver is one r
 
 from __future__ import annotations
 
+import io
 import math
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profilark.functions.cluster import ship
 from profilark.operators.canon import FLOATS, INTEGERS, physical
 from profilark.operators.describe import Describe
 from profilark.operators.integers import Delta
@@ -68,6 +71,8 @@ def body_bytes(kind: str, s: Shape) -> int:
         return 0
     if base.startswith("decimal"):
         return valid + padded(16 * s.rows)
+    if base.startswith("fixed_size_binary"):
+        return valid + padded(int(kind[18:-1]) * s.rows)
     if base in ("string", "binary"):
         return valid + padded(4 * (s.rows + 1)) + padded(s.bytes)
     if base in ("large_string", "large_binary"):
@@ -252,14 +257,30 @@ def choose(df: DataFrame, column: str, candidates: list[Candidate]) -> Candidate
     return chosen
 
 
-def column_store_type(kind: str, lo: int | None, hi: int | None, nullable: bool) -> str:
-    """The type's name in a column store with 8 to 64 bit integers, scaled decimals and low-cardinality text."""
+def column_store_type(kind: str, lo: int | None, hi: int | None, nullable: bool, values: list[str] | None = None) -> str:
+    """The type's name in a column store with 8 to 64 bit integers, scaled decimals and low-cardinality text.
+
+    Lists are arrays and structs tuples, neither of them nullable; text of one length is a fixed string; a
+    dictionary whose few ``values`` are all known is an enumeration.
+    """
+    if kind.startswith(("list[", "large_list[", "fixed_size_list[")):
+        inner = kind[kind.index("[") + 1 : -1]
+        inner = inner.rsplit(",", 1)[0] if kind.startswith("fixed_size_list") else inner
+        return f"Array({column_store_type(inner, lo, hi, nullable)})"
+    if kind.startswith("struct["):
+        return "Tuple(" + ", ".join(f"{n} {column_store_type(t, None, None, nullable)}" for n, t in struct_fields(kind)) + ")"
     base = kind.split("[")[0]
     if base == "dictionary":
+        if values is not None and 0 < len(values) <= 32_768:
+            shown = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + f"' = {k}" for k, v in enumerate(sorted(values), 1))
+            name = f"Enum{8 if len(values) <= 127 else 16}({shown})"
+            return f"Nullable({name})" if nullable else name
         return "LowCardinality(Nullable(String))" if nullable else "LowCardinality(String)"
     if base.startswith("decimal128"):
         p, s = (int(x) for x in kind[11:-1].split(","))
         name = f"Decimal{32 if p <= 9 else 64 if p <= 18 else 128}({s})"
+    elif base.startswith("fixed_size_binary"):
+        name = f"FixedString({kind[18:-1]})"
     elif base == "timestamp":
         unit = kind[10:].rstrip("]").split(",")[0]
         digits = {"s": 0, "ms": 3, "us": 6, "ns": 9}[unit]
@@ -276,6 +297,50 @@ def column_store_type(kind: str, lo: int | None, hi: int | None, nullable: bool)
     return f"Nullable({name})" if nullable else name
 
 
+def struct_fields(kind: str) -> list[tuple[str, str]]:
+    """Names and types of ``struct[a: uint8, b: list[string]]``."""
+    out, depth, at = [], 0, 7
+    for k, ch in enumerate(kind[7:], 7):
+        depth += ch in "[("
+        depth -= ch in "])"
+        if (ch == "," and depth == 0) or depth < 0:
+            name, _, inner = kind[at:k].partition(":")
+            out.append((name.strip(), inner.strip()))
+            at = k + 1
+    return out
+
+
+def transform_winner(sizes: dict[str, int], least: float = 0.01) -> str:
+    """The transform of the smallest measured size; ``none`` unless it saves this share of the bytes."""
+    best = min(sizes, key=lambda k: (sizes[k], k != "none", k))
+    return best if sizes[best] <= sizes["none"] * (1 - least) else "none"
+
+
+def measured_sizes(df: DataFrame, column: str, kind: str, levels: tuple[int, ...] = (1, 3, 9)) -> dict[str, int]:
+    """Bytes of the column's Arrow bodies as the type, plain and by codec, added up over batches of the whole column."""
+    ship(df.sparkSession)
+    own = df.select(F.col(f"`{column}`").cast(spark_type(kind)).alias("v"))
+
+    def run(batches):
+        total: dict[str, int] = {}
+        for batch in batches:
+            if kind.startswith("dictionary"):
+                batch = pa.RecordBatch.from_arrays([batch.column(0).dictionary_encode()], names=["v"])
+            for name in ("none", "lz4", *(f"zstd:{k}" for k in levels)):
+                codec, _, level = name.partition(":")
+                options = pa.ipc.IpcWriteOptions(compression=None if codec == "none" else pa.Codec("lz4" if codec == "lz4" else "zstd", int(level) if level else None))
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    head = sink.tell()
+                    out.write_batch(batch)
+                    total[name] = total.get(name, 0) + sink.tell() - head
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([*total]), pa.array([*total.values()])], names=["codec", "bytes"])
+
+    got = own.mapInArrow(run, "codec string, bytes long").groupBy("codec").agg(F.sum("bytes").alias("bytes")).collect()
+    return {r["codec"]: r["bytes"] for r in got}
+
+
 def transforms(width: int, gcd: int, delta: dict | None, value_bytes: float | None = None) -> list[tuple[str, str, str]]:
     """(transform, outcome, evidence): which of GCD, Delta and DoubleDelta is worth a trial."""
     out = [("none", "kept", "")]
@@ -357,7 +422,8 @@ SCHEMA = "column string, dtype string, class string, nullable boolean, type stri
 class OneShotRecommender:
     """``add`` one frame, then ``result``: a row per column; the result is kept."""
 
-    def __init__(self, *, categorical_threshold: int = 10_000, top_k: int | None = 256, boolean_pairs=(("true", "false"),), skip_granularities=(1, 2, 4, 8), set_max_sizes=(125, 250), bloom_fprs=(0.025,), index_granularity: int = 8192, skip: bool = True, **skip_options):
+    def __init__(self, *, categorical_threshold: int = 10_000, top_k: int | None = 256, boolean_pairs=(("true", "false"),), skip_granularities=(1, 2, 4, 8), set_max_sizes=(125, 250), bloom_fprs=(0.025,), index_granularity: int = 8192, skip: bool = True, compression: bool = False, **skip_options):
+        self.compression = compression
         self.options = {"categorical_threshold": categorical_threshold, "boolean_pairs": boolean_pairs}
         self.top_k, self.granularities, self.set_sizes, self.fprs, self.index_granularity, self.skip, self.skip_options = top_k, skip_granularities, set_max_sizes, bloom_fprs, index_granularity, skip, skip_options
         self.frame: DataFrame | None = None
@@ -384,7 +450,10 @@ class OneShotRecommender:
         for c, p in profiles.items():
             dtype = df.schema[c].dataType
             if isinstance(dtype, (T.ArrayType, T.StructType)):
-                rows.append((c, dtype.simpleString(), p["class"], p["n_null"] > 0, original_type(dtype), None, None, [], None, [], None, []))
+                found = self._nested(df, c, dtype, p)
+                kind, nullable = found[-1].type, p["n_null"] > 0
+                inner = bool(p.get("inner_n_null")) if isinstance(dtype, T.ArrayType) else nullable
+                rows.append((c, dtype.simpleString(), p["class"], nullable, kind, column_store_type(kind, None, None, inner), found[-1].predicted_bytes, [], None, [(x.type, x.rule, x.evidence, x.predicted_bytes, x.projected_bytes, x.outcome, x.reason) for x in found], None, self._inner_top(df, c) if isinstance(dtype, T.ArrayType) and self.top_k and kind.startswith(("list[dict", "fixed_size_list[dict")) else []))
                 continue
             found = Rules(p, dtype, **self.options).candidates()
             chosen = choose(df, c, found)
@@ -396,7 +465,47 @@ class OneShotRecommender:
             top = self._top(c) if self.top_k and any(x.rule == "dictionary" and x.outcome != "rejected" for x in found) else []
             shown = [(x.type, x.rule, x.evidence, float(x.predicted_bytes), float(x.projected_bytes), x.outcome, x.reason) for x in found]
             rows.append((c, dtype.simpleString(), p["class"], p["n_null"] > 0, chosen.type, column_store_type(chosen.type, lo, hi, p["n_null"] > 0), float(chosen.predicted_bytes), steps, skip, shown, p["min"], top))
-        return df.sparkSession.createDataFrame(rows, SCHEMA)
+        out = df.sparkSession.createDataFrame(rows, SCHEMA)
+        if not self.compression:
+            return out
+        picked = []
+        for row in rows:
+            flat = not isinstance(df.schema[row[0]].dataType, (T.ArrayType, T.StructType)) and row[4] != "null"
+            sizes = measured_sizes(df, row[0], row[4]) if flat and df.schema[row[0]].dataType != T.BinaryType() else {}
+            picked.append((row[0], pick_compression(sizes) if sizes else None, sorted(sizes.items())))
+        return out.join(F.broadcast(df.sparkSession.createDataFrame(picked, "column string, compression string, measured array<struct<codec: string, bytes: bigint>>")), "column", "left")
+
+    def _nested(self, df: DataFrame, c: str, dtype: T.DataType, p: dict) -> list[Candidate]:
+        """Candidates of a list or struct, the chosen one last: inner types first, then the shape around them."""
+        v, n = F.col(f"`{c}`"), p["n_rows"]
+        valid = padded(n / 8) if p["n_null"] else 0
+        if isinstance(dtype, T.StructType):
+            parts = [(f.name, self._inner(df.select(v.getField(f.name).alias("v")), f.dataType)) for f in dtype.fields]
+            size = float(valid + sum(x.predicted_bytes or 0 for _, x in parts))
+            return [Candidate("struct[" + ", ".join(f"{k}: {x.type}" for k, x in parts) + "]", "struct", "field by field", size, size, "chosen")]
+        flat = df.where(v.isNotNull()).select(F.explode(v).alias("v"))
+        inner = self._inner(flat, dtype.elementType)
+        body = float(inner.predicted_bytes or 0)
+        kept = Candidate(f"list[{inner.type}]", "list", f"inner {inner.rule}: {inner.evidence}", valid + padded(4 * (n + 1)) + body, None, "chosen")
+        out, lo, hi = [kept], p["min_len"], p["max_len"]
+        if lo is not None and lo == hi and lo > 0 and not p["n_null"]:
+            kept.outcome = "passed over"
+            out.append(Candidate(inner.type, "single item", "every list holds one item", body, None, "chosen") if hi == 1 else Candidate(f"fixed_size_list[{inner.type}, {hi}]", "one length", f"every list holds {hi} items", body, None, "chosen"))
+        for x in out:
+            x.projected_bytes = x.predicted_bytes
+        return out
+
+    def _inner(self, values: DataFrame, dtype: T.DataType) -> Candidate:
+        """The chosen candidate of a column ``v`` (one level down, at any depth)."""
+        values = values.withColumn("o", F.monotonically_increasing_id())
+        p = Describe(categorical_threshold=self.options["categorical_threshold"]).add({"f": values}, {"f": ["o"]}).result([(("f", "v"),)]).first().asDict()
+        if isinstance(dtype, (T.ArrayType, T.StructType)):
+            return self._nested(values, "v", dtype, p)[-1]
+        return choose(values, "v", Rules(p, dtype, **self.options).candidates())
+
+    def _inner_top(self, df: DataFrame, c: str) -> list[tuple[str, int]]:
+        counts = df.select(F.explode(F.col(f"`{c}`")).alias("v")).where("v is not null").groupBy(F.col("v").cast("string").alias("v")).count()
+        return [(r["v"], r["count"]) for r in counts.orderBy(F.desc("count"), "v").limit(self.top_k).collect()]
 
     def _top(self, c: str) -> list[tuple[str, int]]:
         counts = self.frame.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count()
