@@ -1,13 +1,20 @@
-"""Profiles and recommendations of a stream: mergeable state per column, kept in the shared folder.
+"""Profiles and recommendations of a stream: mergeable state per column.
 
 Each batch is reduced to one row of sums and extremes per column and to counts of its values; these
 are merged into the state.  The row number at arrival is the clock: rows are numbered on from the rows
 seen before, so nothing depends on how the stream is cut into batches.  ``attach`` runs it on a
-Structured Streaming query through ``foreachBatch``.
+Structured Streaming query through ``foreachBatch``: the state is written beside the query's checkpoint
+after each batch, under the batch's number, and read when the query starts again.
+
+A type is not cast and compared, as there is no table to compare: ``prove`` decides from the statistics
+of all rows whether each value fits, and the sampled blocks are cast as a cross-check.
 """
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import json
 import math
 from collections.abc import Callable
 
@@ -21,7 +28,7 @@ from profilark.operators.canon import FLOATS, INTEGER_BACKED, canonical, family,
 from profilark.operators.cardinality import chao1
 from profilark.operators.integers import gcds
 from profilark.operators.order import with_ordinal
-from profilark.plans.recommend import Rules
+from profilark.plans.recommend import Candidate, Rules, verify
 
 #: Sums are added, minima and maxima compared, divisors folded.
 SUMS = ["n_rows", "n_null", "sum_len", "n_nan", "n_inf", "n_fractional", "n_f32_inexact", "n_numeric", "n_numeric_int", "n_leading_zero", "n_iso_date", "n_iso_time", "n_iso_datetime", "n_iso_datetime_tz"]
@@ -155,24 +162,156 @@ class StreamingProfiler:
             p |= {"n_unique": distinct, "est_cardinality": est, "est_high": high, "sum_len_unique": round(h["held_bytes"] / h["held"] * distinct) if h else 0, "n_midnight": 0}
             kind = None
             if not isinstance(dtype, (T.DecimalType, *(() if n else (T.DataType,)))):
-                found = Rules(p, dtype).candidates()
-                kind = min((x for x in found if x.outcome != "rejected"), key=lambda x: x.projected_bytes).type
+                kind = self._choose(c, Rules(p, dtype).candidates(), p, dtype).type
             entropy_bits = (h["entropy"] if h else 0.0) if exact else None
             out.append((c, dtype.simpleString(), self.first_row[c], p["n_rows"], p["n_null"], distinct, est, entropy_bits, str(p["min"]) if p["min"] is not None else None, str(p["max"]) if p["max"] is not None else None, kind, p.get("exemplar_row"), p.get("exemplar_value"), p.get("null_exemplar_row") if not absent or p.get("null_exemplar_row") is not None else None, sampled["rows"], sampled["blocks"]))
         return spark.createDataFrame(out, "column string, dtype string, first_row long, n_rows long, n_null long, n_unique long, est_cardinality double, entropy double, min string, max string, type string, exemplar_row long, exemplar_value string, null_exemplar_row long, n_sampled_rows long, n_sampled_blocks long")
 
+    def _choose(self, c: str, found: list[Candidate], p: dict, dtype: T.DataType) -> Candidate:
+        """The smallest candidate that the statistics prove and the sampled rows do not contradict."""
+        for x in sorted((x for x in found if x.outcome != "rejected"), key=lambda x: x.projected_bytes):
+            x.reason = prove(x.type, p, dtype)
+            if x.reason is None and self.sample is not None and c in self.sample.columns and (bad := verify(self.sample, c, x.type)):
+                x.reason = f"{bad} sampled values would change"
+            if x.reason is None:
+                x.outcome = "chosen"
+                return x
+            x.outcome = "failed"
+        return Candidate(dtype.simpleString(), "original", "nothing smaller is proved")
+
+    def save(self, path: str, spark) -> None:
+        """Write the state; a file ``_DONE`` is written last."""
+        for name in ("values", "sketches", "sample"):
+            df = getattr(self, name)
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        flat = {"n_rows": self.n_rows, "types": {k: t.json() for k, t in self.types.items()}, "first_row": self.first_row, "state": {c: {k: _plain(x) for k, x in own.items()} for c, own in self.state.items()}}
+        spark.createDataFrame([(json.dumps(flat),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        fs, at = _file_system(spark, f"{path}/_DONE")
+        fs.create(at, True).close()
+
+    def load(self, path: str, spark) -> StreamingProfiler:
+        """Take on a state that was written."""
+        flat = json.loads(spark.read.text(f"{path}/state").first()[0])
+        self.n_rows, self.first_row = flat["n_rows"], flat["first_row"]
+        self.types = {k: T._parse_datatype_json_string(t) for k, t in flat["types"].items()}
+        self.state = {c: {k: _typed(x) for k, x in own.items()} for c, own in flat["state"].items()}
+        for name in ("values", "sketches", "sample"):
+            fs, at = _file_system(spark, f"{path}/{name}")
+            setattr(self, name, spark.read.parquet(f"{path}/{name}") if fs.exists(at) else None)
+        return self
+
     def attach(self, stream: DataFrame, order_by: list[str], checkpoint: str) -> Callable:
-        """Start a query that feeds every micro-batch to ``add``; a replayed batch is taken once."""
-        seen: set[int] = set()
+        """A writer that feeds every micro-batch to ``add``; a replayed batch is taken once, also after a restart."""
+        spark = stream.sparkSession
+        root = f"{checkpoint.rstrip('/')}/profile"
+
+        def saved() -> list[int]:
+            fs, at = _file_system(spark, root)
+            if not fs.exists(at):
+                return []
+            names = [x.getPath().getName() for x in fs.listStatus(at)]
+            return sorted(int(n) for n in names if n.isdigit() and fs.exists(_file_system(spark, f"{root}/{n}/_DONE")[1]))
+
+        last = [-1]
+        if done := saved():
+            self.load(f"{root}/{done[-1]}", spark)
+            last[0] = done[-1]
 
         def take(batch: DataFrame, number: int) -> None:
-            if number not in seen:
-                self.add(batch, order_by)
-                seen.add(number)
+            if number <= last[0]:
+                return
+            self.add(batch, order_by)
+            self.save(f"{root}/{number}", spark)
+            last[0] = number
+            for old in saved()[:-2]:  # the state in use reads the newest tables only through its own copies
+                fs, at = _file_system(spark, f"{root}/{old}")
+                fs.delete(at, True)
 
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
+def _file_system(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _plain(x):
+    """A statistic as JSON: what JSON lacks goes by name."""
+    if isinstance(x, float) and not math.isfinite(x):
+        return {"float": repr(x)}
+    for name, kind in (("decimal", decimal.Decimal), ("datetime", datetime.datetime), ("date", datetime.date)):
+        if isinstance(x, kind):
+            return {name: str(x) if name == "decimal" else x.isoformat()}
+    return {"bytes": bytes(x).hex()} if isinstance(x, (bytes, bytearray)) else x
+
+
+def _typed(x):
+    if not isinstance(x, dict):
+        return x
+    ((name, v),) = x.items()
+    return {"float": float, "decimal": decimal.Decimal, "datetime": datetime.datetime.fromisoformat, "date": datetime.date.fromisoformat, "bytes": bytes.fromhex}[name](v)
+
+
+def prove(kind: str, p: dict, dtype: T.DataType) -> str | None:
+    """Why the statistics of all rows do not prove that every value fits the type and comes back; None where they do."""
+    base, n = kind.split("[")[0].split("(")[0], p["n_rows"] - p["n_null"]
+    if base == "null":
+        return None if not n else f"{n} values"
+    if not n or base in ("string", "large_string", "binary", "large_binary", "dictionary") or kind == dtype.simpleString():
+        return None
+    ranges = {"bool": (0, 1)} | {f"{u}int{b}": (0, 2**b - 1) if u else (-(2 ** (b - 1)), 2 ** (b - 1) - 1) for b in (8, 16, 32, 64) for u in ("", "u")}
+    text_ = isinstance(dtype, T.StringType)
+    if text_ and base in (*ranges, "decimal128", "float", "double"):
+        if base == "bool" and p.get("n_numeric_int") != n:
+            return None if p["n_unique"] <= 2 and {str(p["min"]).lower(), str(p["max"]).lower()} <= {"true", "false"} else "other words than two"
+        if p["n_leading_zero"] or p["n_numeric"] != n:
+            return f"{n - p['n_numeric']} values are no numbers, {p['n_leading_zero']} have leading zeros"
+        if base in ranges:
+            lo, hi = p["numeric_int_min"], p["numeric_int_max"]
+            if p["n_numeric_int"] != n or lo is None:
+                return "not all are whole"
+            return None if ranges[base][0] <= lo and hi <= ranges[base][1] else f"{lo} to {hi} do not fit"
+        if base == "decimal128":
+            digits, places = (int(x) for x in kind[11:-1].split(","))
+            return None if p["numeric_max_frac_digits"] <= places and p["numeric_max_int_digits"] + places <= digits else "more digits"
+        return None if p["numeric_max_sig_digits"] <= (6 if base == "float" else 15) else f"{p['numeric_max_sig_digits']} significant digits"
+    if text_:
+        count = {"date32": "n_iso_date", "time64": "n_iso_time", "timestamp": "n_iso_datetime_tz" if "tz" in kind else "n_iso_datetime"}.get(base)
+        return None if count and p[count] == n else "not all are of this form"
+    if base == "timestamp":
+        unit = {"s": 1_000_000, "ms": 1_000, "us": 1}[kind.split("[")[1].split(",")[0].rstrip("]")]
+        return None if int(p["gcd"] or 0) % unit == 0 else f"ticks share only the divisor {p['gcd']}"
+    if base == "date32":
+        return None if p["n_midnight"] == n or isinstance(dtype, T.DateType) else "not all are midnights"
+    if isinstance(dtype, FLOATS):
+        if base == "float":
+            return None if not p["n_f32_inexact"] else f"{p['n_f32_inexact']} values need 64 bits"
+        if p["n_nan"] or p["n_inf"]:
+            return "values that are no numbers"
+        if base == "decimal128":
+            digits, places = (int(x) for x in kind[11:-1].split(","))
+            whole = len(str(int(max(abs(p["min"]), abs(p["max"])))))
+            return None if p["max_frac_digits"] <= places and whole + places <= digits <= 15 else "more digits than a double surely holds"
+        if p["n_fractional"]:
+            return f"{p['n_fractional']} values are no whole numbers"
+    if base in ranges:
+        lo, hi = p["min"], p["max"]
+        return None if ranges[base][0] <= lo and hi <= ranges[base][1] else f"{lo} to {hi} do not fit"
+    return "no statistic speaks for it"
+
+
+def scaled_up(sampled_bytes: float, sampled_rows: int, rows: int) -> float:
+    """Bytes of a sample, scaled to the rows of the stream."""
+    return sampled_bytes * rows / sampled_rows if sampled_rows else math.nan
+
+
+def usable_granularities(granularities: tuple[int, ...], index_granularity: int, block_rows: int) -> tuple[list[int], list[tuple[int, str]]]:
+    """Skip index granularities whose windows fit a sampled block, and the others with the reason."""
+    fits = [g for g in granularities if g * index_granularity <= block_rows]
+    return fits, [(g, f"a window of {g * index_granularity} rows exceeds a block of {block_rows}") for g in granularities if g not in fits]
+
+
 def merge(a: dict | None, b: dict) -> dict:
     """The statistics of two runs of rows, the first before the second."""
     if a is None:
