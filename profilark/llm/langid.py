@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from profilark.functions.cluster import ship
+from profilark.functions.cluster import materialize, ship, small
 from profilark.llm import textscan as ts
 from profilark.llm.columns import fresh, named, renamed, typed
 
@@ -289,14 +290,16 @@ class LanguageTagger:
         text, label = named(self.text_col).cast("string"), named(self.label_col).cast("string")
         rows = labelled.select(label.alias("label"), text.alias("text"), named(id_col).cast("string").alias("id")).where("label is not null and text is not null")
         rows = rows.where(F.octet_length("text") <= self.sample_bytes).withColumn("h", F.xxhash64("text", "id"))
-        # one label after another: a sorted limit keeps the smallest of each task, so skew or equal ids gather nothing
-        labels = [r["label"] for r in rows.groupBy("label").count().orderBy("label").collect()]
-        per = {}
-        for name in labels:
-            # the hashes first, so that only the texts that are taken are moved
-            least = rows.where(F.col("label") == name).select("h").orderBy("h").limit(self.sample_docs).agg(F.max("h")).first()[0]
-            taken = rows.where((F.col("label") == name) & (F.col("h") <= least)).orderBy("h", "text").limit(self.sample_docs).select("text").collect()
-            per[name] = [(name, r["text"]) for r in taken]
+        # a limit by rank keeps the smallest of each task, so skew or equal ids gather nothing; first on the
+        # hashes alone, so that hardly more texts are moved than are taken
+        nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+        least = rows.select("label", "h").withColumn("nth", nth).where(F.col("nth") <= self.sample_docs).groupBy("label").agg(F.max("h").alias("least"))
+        near = rows.join(small(materialize(least, "least")), "label").where("h <= least")
+        nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+        taken = near.withColumn("nth", nth).where(F.col("nth") <= self.sample_docs).select("label", "text", "nth").collect()
+        per: dict[str, list] = {}
+        for r in sorted(taken, key=lambda r: (r["label"], r["nth"])):
+            per.setdefault(r["label"], []).append((r["label"], r["text"]))
         self.model = train([x for name in sorted(per) for x in per[name]], self.rounds)
         return self
 
