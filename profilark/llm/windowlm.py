@@ -43,8 +43,8 @@ from profilark.llm import textscan as ts
 from profilark.llm.columns import named
 
 LEAST_SIDE = 48
-HEADS = 32  # beginnings inside a shared member
-EMBED, HIDDEN = 16, 32
+HEADS = 16  # beginnings inside a shared member
+EMBED, HIDDEN = 12, 32
 SIDES = (-2, -1, 1, 2)
 #: The share of the documents, in 256ths, that each round of training takes.
 ROUNDS = (16, 48, 192)
@@ -115,14 +115,15 @@ def members(v: Vocabulary, w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, head
 
 
-def within(v: Vocabulary, w: ts.Words, member: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """log p(word | member, beginning), as of an unseen word for those that are not in memory."""
-    out, shared = np.zeros(len(member)), head >= 0
-    at, hit = found(v.words, w.hash[shared])
+def within(v: Vocabulary, w: ts.Words, member: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log p(word | member, beginning), as of an unseen word for those that are not in memory; where these are."""
+    out, shared = np.zeros(len(member)), np.flatnonzero(head >= 0)
+    hashes = w.hash[shared]
+    at, hit = found(v.words, hashes)
     n = np.where(hit, v.counts[at] if len(v.counts) else 0.0, 0.0)
     total = v.heads[member[shared] - v.own, head[shared]]
     out[shared] = np.minimum(np.log((n + 0.5) / (np.maximum(total, n) + 1.0)), 0.0)
-    return out
+    return out, shared[~hit]
 
 
 def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
@@ -357,7 +358,7 @@ def _score(shared, joined: bool):
             for part in ts.slices(whole, "text"):
                 w = ts.words(part.column(1))
                 member, head = members(v, w)
-                logs = within(v, w, member, head)
+                logs, beyond = within(v, w, member, head)
                 context = windows(member, w.ptr, v.leaves)
                 for i in range(0, len(member), SCORED):
                     at = slice(i, i + SCORED)
@@ -365,8 +366,7 @@ def _score(shared, joined: bool):
                 sums = np.append(0, np.cumsum(logs))
                 out = [part.column(0), pa.array(w.count.astype(np.int64)), pa.array(sums[w.ptr[1:]] - sums[w.ptr[:-1]])]
                 if joined:
-                    beyond = (head >= 0) & ~found(v.words, w.hash)[1]
-                    ends = np.append(0, np.cumsum(beyond))[w.ptr]
+                    ends = np.searchsorted(beyond, w.ptr)
                     out += [pa.array(row + np.arange(len(w.count))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(w.hash[beyond].view(np.int64)))]
                     row += len(w.count)
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n_words", "log_probability", "row", "beyond"][: len(out)])
