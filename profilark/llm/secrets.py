@@ -5,8 +5,8 @@ of padding), and after an assignment to a secret word quoted values of 6 to 128
 white space and unquoted ones of 8 or more.  Each is described
 by its length, its character transitions (class changes, and how English its letter pairs are),
 dictionary coverage, shape, the path of its text and the words beside it.  A random forest is grown in
-numpy on the labelled findings below (a fixed table that goes through the same SQL features), written
-out as one CASE expression per tree, and run inside the scan.  A candidate is a secret when the mean
+numpy on labelled findings (a fixed table that goes through the same SQL features: findings labelled by
+hand, from real source files and vendors' documentation, and generated ones), written out as one CASE expression per tree, and run inside the scan.  A candidate is a secret when the mean
 vote is 0.5 or more.
 
 Definitions.  Null and short texts have no candidates.  A null path is an empty one.  Candidates are
@@ -23,6 +23,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilark.llm.columns import named
+from profilark.llm.findings import NOT_SECRET, SECRET
+
 SECRET_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|pass|api_?key|apikey|key|auth|authorization|bearer|credentials?|private|access|signature|client_?secret|aws|webhook"
 OTHER_WORDS = "sha(?:1|256|512)?|commit|hash|md5|checksum|digest|uuid|guid|example|integrity|image|revision|version|etag|file|path|class|function|import|package|href|src|isbn|serial|build|branch|url"
 PREFIXES = "AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|npm_|dop_v1_|eyJ"
@@ -139,6 +142,11 @@ def findings(seed: int = 7, each: int = 40) -> list[tuple[str, str, str, str, in
     return [row for row in out if len(row[0]) >= 16] + [row for row in short if len(row[0]) >= 8]
 
 
+def labelled_table(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
+    """The findings that the forest learns: those labelled by hand and the generated ones."""
+    return [*findings(seed), *((*row, 0) for row in NOT_SECRET), *((*row, 1) for row in SECRET for _ in range(3))]
+
+
 class Forest:
     """Gini trees on bootstrap samples with random feature subsets."""
 
@@ -221,7 +229,7 @@ class SecretScan:
 
     def run(self, docs: DataFrame) -> DataFrame:
         """``id, number, value, word_before, probability`` of every secret."""
-        forest = Forest(*labelled_features(docs.sparkSession, self.labelled or findings()))
+        forest = Forest(*labelled_features(docs.sparkSession, self.labelled or labelled_table()))
         rows = self.candidates(docs).select("id", "number", "value", "before", *features("value", "before", "after", "path"))
         rows = rows.withColumn("probability", F.round(F.expr(forest.sql()), 6)).where("probability >= 0.5")
         word = F.regexp_extract("before", r"([A-Za-z_][A-Za-z0-9_-]*)[^A-Za-z0-9_]*$", 1)
