@@ -83,8 +83,8 @@ LEVEL: dict[str, T.DataType] = {"min": S, "max": S, "unique": B, "est_cardinalit
 SIZES = {"size_bytes": L, "size_zstd_bytes": L}
 
 
-def value_profile(df: DataFrame, dtype: T.DataType) -> DataFrame:
-    """One row of metrics of a frame ``__ord, v`` (``__ord`` may be null where order has no meaning)."""
+def value_profile(df: DataFrame, dtype: T.DataType, ordered: bool = True) -> DataFrame:
+    """One row of metrics of a frame ``__ord, v`` (without ``ordered`` equal extremes are shown by their least text)."""
     v = F.col("v")
     aggs: dict[str, Column] = {"n_values": F.count("*"), "n_null": F.count_if(F.isnull(v))}
     nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
@@ -102,8 +102,10 @@ def value_profile(df: DataFrame, dtype: T.DataType) -> DataFrame:
         real = v.isNotNull() & ~F.isnan(v) if isinstance(dtype, FLOATS) else v.isNotNull()
         c = canonical(v, dtype)
         shown = F.hex(v) if isinstance(dtype, T.BinaryType) else v.cast("string")
-        # of equal extremes the first row's text
-        aggs |= {"min": F.min_by(shown, F.when(real, F.struct(c.alias("c"), F.col(ORD).alias("o")))), "max": F.max_by(shown, F.when(real, F.struct(c.alias("c"), (-F.col(ORD)).alias("o"))))}
+        if ordered:  # of equal extremes the first row's text
+            aggs |= {"min": F.min_by(shown, F.when(real, F.struct(c.alias("c"), F.col(ORD).alias("o")))), "max": F.max_by(shown, F.when(real, F.struct(c.alias("c"), (-F.col(ORD)).alias("o"))))}
+        else:
+            aggs |= {"min": F.min(F.when(real, F.struct(c.alias("c"), shown.alias("s"))))["s"], "max": F.max(F.when(real, F.struct(c.alias("c"), shown.alias("s"))))["s"]}
         aggs |= {"lo": F.min(F.when(real, c)), "hi": F.max(F.when(real, c))}
     if isinstance(dtype, T.TimestampType) or isinstance(dtype, T.TimestampNTZType):
         aggs["n_midnight"] = F.count_if(F.date_trunc("DAY", v) == v)
@@ -111,14 +113,18 @@ def value_profile(df: DataFrame, dtype: T.DataType) -> DataFrame:
 
 
 class Describe(Technique):
-    """The profile of each column; ``order_by`` decides which of equal extremes is shown and the seeded split."""
+    """The profile of each column; ``order_by`` decides which of equal extremes is shown and the seeded split.
+
+    Without ``estimates`` there is no split, so rows are neither sorted nor numbered; estimates and class are null.
+    """
 
     ORDERED = True
     DESCRIPTORS = {"dtype": S}
     METRICS = {"n_rows": L, "n_null": L, **VALUE_METRICS, "n_midnight": L, **SIZES, "inner_n_values": L, "inner_n_null": L, **{f"inner_{k}": t for k, t in VALUE_METRICS.items()}, **LEVEL, **{f"inner_{k}": t for k, t in LEVEL.items()}}
 
-    def __init__(self, *, categorical_threshold: int = 10_000, seed: int = 0, sizes: bool = False, zstd_level: int = 3):
+    def __init__(self, *, categorical_threshold: int = 10_000, seed: int = 0, sizes: bool = False, zstd_level: int = 3, estimates: bool = True):
         super().__init__()
+        self.estimates = estimates
         self.categorical_threshold, self.seed, self.sizes, self.zstd_level = categorical_threshold, seed, sizes, zstd_level
 
     def eligible(self, dtype):
@@ -135,11 +141,14 @@ class Describe(Technique):
         out = []
         for n, own in by_frame(combos).items():
             columns = [c for ((_, c),) in own]
-            df = with_ordinal(self.frames[n].select(*dict.fromkeys([*columns, *self.orders[n]])), self.orders[n])
+            df = self._placed(self.frames[n].select(*dict.fromkeys([*columns, *self.orders[n]])), self.orders[n])
             for c in columns:
                 out.append(self._column(n, c, df))
         return union(out)
 
+    def _placed(self, df: DataFrame, order: list[str]) -> DataFrame:
+        return with_ordinal(df, order) if self.estimates else df.withColumn(ORD, F.lit(0))
+
     def _column(self, n: str, c: str, df: DataFrame) -> DataFrame:
         dtype = df.schema[c].dataType
         row = self._level(df.select(ORD, F.col(f"`{c}`").alias("v")), dtype)
@@ -147,7 +156,7 @@ class Describe(Technique):
         if isinstance(dtype, T.ArrayType):
             # lists one level down, in order of row and place
             flat = df.select(F.col(ORD).alias("__row"), F.posexplode(F.col(f"`{c}`")).alias("__at", "v"))
-            inner = self._level(with_ordinal(flat, ["__row", "__at"]).select(ORD, "v"), dtype.elementType)
+            inner = self._level(self._placed(flat, ["__row", "__at"]).select(ORD, "v"), dtype.elementType)
             row = row.crossJoin(F.broadcast(inner.select(*(F.col(k).alias(f"inner_{k}") for k in inner.columns))))  # one row
         if self.sizes:
             row = row.crossJoin(F.broadcast(ipc_sizes(df.select(F.col(f"`{c}`").alias("v")), self.zstd_level)))
@@ -155,12 +164,14 @@ class Describe(Technique):
         return row.select(F.lit(n).alias("df_a"), F.lit(c).alias("col_a"), *((F.col(k) if k in have else F.lit(None)).cast(t).alias(k) for k, t in self.METRICS.items()))
 
     def _level(self, long: DataFrame, dtype: T.DataType) -> DataFrame:
-        row = value_profile(long, dtype)
+        row = value_profile(long, dtype, self.estimates)
         if isinstance(dtype, (T.StringType, T.BinaryType)):
             unique = long.select("v").distinct().agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0)).alias("sum_len_unique"))
             row = row.crossJoin(F.broadcast(unique))
         if isinstance(dtype, INTEGER_BACKED):
             row = row.crossJoin(F.broadcast(gcds(long, ["v"]).select("gcd")))
+        if not self.estimates:
+            return row.drop("lo", "hi")
         if not isinstance(dtype, T.StructType):
             names = [f"h{k}" for k in range(1, 8)]
             inputs = long.sparkSession.range(1).select(F.lit("v").alias("col")).join(frequency_inputs(long, ["v"], self.seed), "col", "left").na.fill(0)

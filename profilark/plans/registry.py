@@ -106,13 +106,13 @@ PRICES = ["l_extendedprice", "l_discount", "l_quantity"]
     CAST(count_if(isfinite({c}) AND {c} <> floor({c})) AS BIGINT) AS n_fractional, CAST(count_if(isfinite({c}) AND CAST(CAST({c} AS FLOAT) AS DOUBLE) <> {c}) AS BIGINT) AS n_f32_inexact FROM lineitem"""))
 def float_profile(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *PRICES)
-    return results(Describe(), "lineitem", df, PRICES, "n_rows", "n_null", "n_unique", "n_nan", "n_inf", "n_fractional", "n_f32_inexact", order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return results(Describe(estimates=False), "lineitem", df, PRICES, "n_rows", "n_null", "n_unique", "n_nan", "n_inf", "n_fractional", "n_f32_inexact", order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query("""SELECT 'text' AS col_a, count(*) AS n_rows, count(DISTINCT text) AS n_unique, CAST(min(octet_length(encode(text))) AS BIGINT) AS min_len, CAST(max(octet_length(encode(text))) AS BIGINT) AS max_len,
     CAST(sum(octet_length(encode(text))) AS BIGINT) AS sum_len, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM (SELECT DISTINCT text FROM documents)) AS sum_len_unique FROM documents""")
 def length_profile(spark, sf_dir):
-    return results(Describe(), "documents", table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "n_rows", "n_unique", "min_len", "max_len", "sum_len", "sum_len_unique", order=["doc_id"])
+    return results(Describe(estimates=False), "documents", table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "n_rows", "n_unique", "min_len", "max_len", "sum_len", "sum_len_unique", order=["doc_id"])
 
 
 @query("""SELECT 'key' AS col_a, count(*) AS n_rows, count_if(k SIMILAR TO '-?[0-9]+(\\.[0-9]+)?') AS n_numeric, count_if(k SIMILAR TO '-?[0-9]+') AS n_numeric_int, count_if(k SIMILAR TO '-?0[0-9]+') AS n_leading_zero,
@@ -122,7 +122,7 @@ def length_profile(spark, sf_dir):
 def numeric_string_scan(spark, sf_dir):
     key = F.concat(F.when(F.col("o_orderkey") % 7 == 0, "00").otherwise(""), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(""))
     df = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"))
-    return results(Describe(), "orders", df, ["key"], "n_rows", "n_numeric", "n_numeric_int", "n_leading_zero", "numeric_int_min", "numeric_int_max", "numeric_max_int_digits", order=["o_orderkey"])
+    return results(Describe(estimates=False), "orders", df, ["key"], "n_rows", "n_numeric", "n_numeric_int", "n_leading_zero", "numeric_int_min", "numeric_int_max", "numeric_max_int_digits", order=["o_orderkey"])
 
 
 @query("""SELECT 'stamp' AS col_a, CAST(count_if(k SIMILAR TO '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS BIGINT) AS n_iso_date, CAST(count_if(k SIMILAR TO '[0-9]{2}:[0-9]{2}:[0-9]{2}') AS BIGINT) AS n_iso_time,
@@ -133,7 +133,7 @@ def iso_string_scan(spark, sf_dir):
     kind, f = F.col("event_id") % 4, lambda p: F.date_format("ts", p)
     stamp = F.when(kind == 0, f("yyyy-MM-dd")).when(kind == 1, f("HH:mm:ss")).when(kind == 2, f("yyyy-MM-dd HH:mm:ss")).otherwise(f("yyyy-MM-dd'T'HH:mm:ss'Z'"))
     df = table(spark, sf_dir, "events").select("event_id", stamp.alias("stamp"))
-    return results(Describe(), "events", df, ["stamp"], "n_iso_date", "n_iso_time", "n_iso_datetime", "n_iso_datetime_tz", "iso_n_midnight", order=["event_id"])
+    return results(Describe(estimates=False), "events", df, ["stamp"], "n_iso_date", "n_iso_time", "n_iso_datetime", "n_iso_datetime_tz", "iso_n_midnight", order=["event_id"])
 
 
 KEYS = ["o_orderkey", "o_custkey", "big"]
@@ -316,7 +316,7 @@ def minhash_similarity(spark, sf_dir):
 @query("""WITH e AS (SELECT unnest(embedding) AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT 'embedding' AS col_a, (SELECT count(*) FROM embeddings) AS n_rows, (SELECT CAST(min(len(embedding)) AS BIGINT) FROM embeddings) AS min_len, (SELECT CAST(max(len(embedding)) AS BIGINT) FROM embeddings) AS max_len,
     count(*) AS inner_n_values, CAST(count_if(v IS NULL) AS BIGINT) AS inner_n_null, count(DISTINCT v) AS inner_n_unique, CAST(count_if(isfinite(v) AND v <> floor(v)) AS BIGINT) AS inner_n_fractional FROM e""")
 def list_inner_profile(spark, sf_dir):
-    return results(Describe(), "embeddings", table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["embedding"], "n_rows", "min_len", "max_len", "inner_n_values", "inner_n_null", "inner_n_unique", "inner_n_fractional", order=["vec_id"])
+    return results(Describe(estimates=False), "embeddings", table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["embedding"], "n_rows", "min_len", "max_len", "inner_n_values", "inner_n_null", "inner_n_unique", "inner_n_fractional", order=["vec_id"])
 
 
 @query("SELECT count(*) AS n_rows, round(sum(l_extendedprice), 2) AS total FROM lineitem")
