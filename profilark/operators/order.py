@@ -68,3 +68,17 @@ def running_sum(df: DataFrame, value: str | dict[str, str], out: str | None, key
     for k, name in enumerate(sums.values()):
         df = df.withColumn(name, F.col(f"__e{k}") + F.col(f"__i{k}")).drop(f"__e{k}", f"__i{k}")
     return df.drop("__chunk")
+
+
+def least_before(df: DataFrame, value: str, out: str, key: str, order: str) -> DataFrame:
+    """The smallest ``value`` of the rows of a key with a smaller ``order``: by chunks, so no key meets in one task.
+
+    Each (key, order) stands on one row.
+    """
+    placed = with_ordinal(df, [key, order], "__o").withColumn("__chunk", F.floor(F.col("__o") / CHUNK).cast("long"))
+    parts = placed.groupBy(key, "__chunk").agg(F.min(value).alias("__m"))
+    chunks = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(key).alias("__k"), F.col("__chunk").alias("__c"), F.min("__m").over(chunks).alias("__e"))
+    inside = F.min(value).over(Window.partitionBy(key, "__chunk").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("__i", inside).join(parts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__chunk") == F.col("__c")))
+    return joined.withColumn(out, F.least("__i", "__e")).drop("__o", "__chunk", "__k", "__c", "__i", "__e")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from profilark.operators.order import running_sum, with_ordinal
 from profilark.plans.storage import pareto
 
 
@@ -113,8 +114,9 @@ def skip_predictions(blocks: DataFrame, probes: DataFrame, fpr: float = 0.0) ->
     marks = blocks.select("column", F.col("lo").alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("step"), F.lit(0.0).alias("weight"))
     marks = marks.unionByName(blocks.select("column", F.col("hi").alias("v"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), F.lit(0.0).alias("weight")))
     marks = marks.unionByName(probes.select("column", F.col("value").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("step"), F.col("weight").cast("double")))
-    held = F.sum("step").over(Window.partitionBy("column").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    asked = marks.withColumn("held", held).where("kind = 1")
+    # in the order of column, value and kind; equal marks of one kind count alike whatever their order
+    placed = with_ordinal(marks, ["column", "v", "kind"], "__o")
+    asked = running_sum(placed, "step", "held", ("column",), "__o").where("kind = 1")
     n = blocks.groupBy("column").agg(F.count("*").alias("blocks"))
     return asked.join(n, "column").groupBy("column").agg((F.sum(F.col("weight") * (1 - F.col("held") / F.col("blocks"))) / F.sum("weight") * (1 - fpr)).alias("predicted_skip"))
 

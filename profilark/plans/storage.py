@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilark.operators.order import least_before
 from profilark.plans import predicates
 
 FORMATS = ("parquet", "orc")
@@ -144,9 +145,6 @@ def pareto(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     A sweep in order of x, not a comparison of all pairs: a point stays where its y is below that of every
     point with a smaller x (of equal points all stay).
     """
-    from pyspark.sql.window import Window
-
     best = points.groupBy(key, x).agg(F.min(y).alias("__y"))
-    before = F.min("__y").over(Window.partitionBy(key).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("__before", before).where("__before is null or __y < __before").select(key, x, F.col("__y").alias(y))
+    front = least_before(best, "__y", "__before", key, x).where("__before is null or __y < __before").select(key, x, F.col("__y").alias(y))
     return points.join(front, [key, x, y], "left_semi")

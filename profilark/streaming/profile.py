@@ -118,16 +118,14 @@ class StreamingProfiler:
 
     def _sample(self, df: DataFrame, rows: int) -> DataFrame | None:
         """The ``blocks`` contiguous blocks of smallest seeded hash: a sample that batches can't change."""
-        from pyspark.sql.window import Window
-
         block = F.floor(F.col("__ord") / self.block_rows)
         own = df.withColumn("__block", block)
         if self.sample is not None:
             own = own.unionByName(self.sample, allowMissingColumns=True)
         if not rows and self.sample is None:
             return None
-        ids = own.select("__block").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(self.seed), "__block"))))
-        return materialize(own.join(F.broadcast(ids.where(F.col("r") <= self.blocks).select("__block")), "__block", "left_semi"), "sample")
+        ids = own.select("__block").distinct().orderBy(F.xxhash64(F.lit(self.seed), "__block"), "__block").limit(self.blocks)
+        return materialize(own.join(F.broadcast(ids), "__block", "left_semi"), "sample")
 
     def result(self) -> DataFrame:
         """A row per column: its profile, estimates, the recommended type and the sample's size."""
