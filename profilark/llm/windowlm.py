@@ -193,9 +193,10 @@ class Network:
         np.tanh(h, out=h)
         group, inside = np.divmod(member, self.v.side)
         part = _log_at(h @ w2 + b2, group)
-        z = b3[group]
+        z = np.empty((len(h), self.v.side), np.float32)
         for g, a, b in _runs(group):
-            z[a:b] += h[a:b] @ w3[g]
+            np.matmul(h[a:b], w3[g], out=z[a:b])
+            z[a:b] += b3[g]
         part += _log_at(z, inside)
         shared = np.flatnonzero(head >= 0)
         part[shared] += _log_at(h[shared] @ w4 + b4 + self.prior[member[shared] - self.v.own], head[shared])
@@ -226,9 +227,10 @@ class Network:
         d = z @ w2.T
         step(3, h.T @ z)
         step(4, z.sum(0))
-        runs, z = _runs(group), b3[group]
+        runs, z = _runs(group), np.empty((n, self.v.side), np.float32)
         for g, a, b in runs:
-            z[a:b] += h[a:b] @ w3[g]
+            np.matmul(h[a:b], w3[g], out=z[a:b])
+            z[a:b] += b3[g]
         _surprise(z, inside, n)
         here = np.array([g for g, _, _ in runs])
         inner = np.empty((len(runs), HIDDEN, self.v.side), np.float32)
@@ -267,21 +269,21 @@ def windows(c: np.ndarray, ptr: np.ndarray, beyond: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, shape, count), summed over a few megabytes of text at a time."""
+    """(word, shape, count), summed over some ten megabytes of text at a time."""
     names = ["word", "shape", "n"]
 
     def flush(hashes, numbers):
         word, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(numbers)[first].astype(np.int32)), pa.array(n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(numbers)[first]), pa.array(n)], names=names)
 
     hashes, numbers, held = [], [], 0
     for whole in batches:
         for part in ts.slices(whole, "text"):
             w = ts.words(part.column(part.schema.get_field_index("text")))
             hashes.append(w.hash)
-            numbers.append(shape(w))
+            numbers.append(shape(w).astype(np.int32))
             held += len(w.hash)
-            if held > 1 << 21:
+            if held > 1 << 22:
                 yield flush(hashes, numbers)
                 hashes, numbers, held = [], [], 0
     if held:
