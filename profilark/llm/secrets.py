@@ -5,8 +5,8 @@ of padding), and after an assignment to a secret word quoted values of 6 to 128
 white space and unquoted ones of 8 or more.  Each is described
 by its length, its character transitions (class changes, and how English its letter pairs are),
 dictionary coverage, shape, the path of its text and the words beside it.  A random forest is grown in
-numpy on labelled findings (a fixed table that goes through the same SQL features: findings labelled by
-hand, from real source files and vendors' documentation, and generated ones), written out as one CASE expression per tree, and run inside the scan.  A candidate is a secret when the mean
+numpy on labelled findings (a fixed table that goes through the same SQL features: candidates from
+real source files, lines written by hand, and generated ones), written out as one CASE expression per tree, and run inside the scan.  A candidate is a secret when the mean
 vote is 0.5 or more.
 
 Definitions.  Null and short texts have no candidates.  A null path is an empty one.  Candidates are
@@ -143,7 +143,7 @@ def findings(seed: int = 7, each: int = 40) -> list[tuple[str, str, str, str, in
 
 
 def labelled_table(seed: int = 7) -> list[tuple[str, str, str, str, int]]:
-    """The findings that the forest learns: those labelled by hand and the generated ones."""
+    """The findings that the forest learns: those of ``findings`` and the generated ones."""
     return [*findings(seed), *((*row, 0) for row in NOT_SECRET), *((*row, 1) for row in SECRET for _ in range(3))]
 
 
