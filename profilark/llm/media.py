@@ -84,6 +84,9 @@ class Bank:
     phases: np.ndarray = field(init=False, repr=False)
     taper: np.ndarray = field(init=False, repr=False)
     mel: np.ndarray = field(init=False, repr=False)
+    bins: np.ndarray = field(init=False, repr=False)  # spectrum bins of the filters' weights, band after band
+    weights: np.ndarray = field(init=False, repr=False)
+    bands: np.ndarray = field(init=False, repr=False)  # where each band's weights begin
 
     def __post_init__(self):
         g = gcd(self.rate, self.target)
@@ -99,6 +102,11 @@ class Bank:
         bank = np.maximum(0, np.minimum((f - edge[:-2]) / (edge[1:-1] - edge[:-2]), (edge[2:] - f) / (edge[2:] - edge[1:-1])))
         for k, v in {"up": up, "down": down, "phases": h.astype(np.float32), "taper": np.hanning(self.window + 1)[:-1].astype(np.float32), "mel": bank.astype(np.float32)}.items():
             object.__setattr__(self, k, v)
+        used = self.mel > 0
+        used[0] |= ~used.any(0)  # a band narrower than a bin has one weight of 0
+        band, bins = np.nonzero(used.T)
+        for k, v in {"bins": bins, "weights": self.mel[bins, band], "bands": np.searchsorted(band, np.arange(MELS))}.items():
+            object.__setattr__(self, k, v)
 
     def frames(self, samples: int) -> int:
         """Frames of a signal; one at least, the last padded with silence."""
@@ -122,6 +130,11 @@ class Bank:
             out[:, j] = row[:: self.down][: len(out)]
         return out.ravel()[first - cycles0 * self.up :][:count]
 
+    def to_bands(self, power: np.ndarray) -> np.ndarray:
+        """The bands' energies of every frame, each summed in one fixed order: the bits of a matrix product
+        depend on the library's threads, on the processor and on how many frames stand in the block."""
+        return np.add.reduceat(power.take(self.bins, axis=1) * self.weights, self.bands, axis=1)
+
     def log_mel(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (frames x MELS log energies, frame energies in dB)."""
         total = self.frames(len(x))
@@ -131,7 +144,7 @@ class Bank:
             view = np.lib.stride_tricks.sliding_window_view(y, self.window)[:: self.hop]
             spectrum = np.fft.rfft(view * self.taper, self.fft, axis=1)
             power = spectrum.real**2 + spectrum.imag**2
-            yield np.log(power @ self.mel + np.float32(1e-6)), 10 * np.log10(power.sum(1) + np.float32(1e-6))
+            yield np.log(self.to_bands(power) + np.float32(1e-6)), 10 * np.log10(power.sum(1) + np.float32(1e-6))
 
 
 DEFAULT = Bank()

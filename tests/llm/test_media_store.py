@@ -1,4 +1,8 @@
 import hashlib
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,3 +46,25 @@ def test_tiles_are_those_of_the_columns(spark):
     assert [(t.from_ms, t.to_ms, t.active_ms) for t in tiles] == [tuple(s) for s in row.spans]
     values = np.concatenate([media.load_tiles(bytes(b)).column(0).to_numpy_ndarray() for b in row.tensors])
     assert np.array_equal(np.array([t.tensor for t in tiles], np.float32).reshape(values.shape), values)
+
+
+def test_features_do_not_depend_on_threads_or_block():
+    """Workers run with one thread, drivers with many; a frame has the same bits whatever stands beside it."""
+    code = """
+import hashlib, numpy as np
+from profilark.llm import media
+text = np.frombuffer(media.pad(b"some words of sound " * 3000), np.uint8)
+blocks, x = media.features(text)
+print(hashlib.sha256(b"".join(bytes(b) for b in blocks)).hexdigest(), x["sha"])
+"""
+    root, got = str(Path(__file__).resolve().parents[2]), set()
+    for kernel in (None, "Haswell"):
+        for threads in "1", "4", "8":
+            env = {**os.environ, "OMP_NUM_THREADS": threads, "PYTHONPATH": root} | ({"OPENBLAS_CORETYPE": kernel} if kernel else {})
+            got.add(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout)
+    assert len(got) == 1
+    power = np.random.default_rng(4).random((755, media.DEFAULT.fft // 2 + 1), np.float32)
+    whole = media.DEFAULT.to_bands(power)
+    assert np.allclose(whole, power.astype(float) @ media.DEFAULT.mel, rtol=1e-5)
+    for n in 1, 7, 16, 64, 200:
+        assert np.array_equal(media.DEFAULT.to_bands(power[:n]), whole[:n])
