@@ -9,7 +9,7 @@ document id, or the same document and a smaller line number) has Jaccard similar
 2. A second pass orders each line's words by rarity (counter, then hash: a total order, so the
    join is exact however words share counters) and emits the prefix that two similar lines must
    share a word of (k words of a prefix k - 1 longer, where lines are long).
-3. Lines are joined on prefix words under the length bound, the positional bound and a bound from
+3. Lines meet on prefix words, packed by hashed buckets of words, under the length bound, the positional bound and a bound from
    64-bit parity bitmaps (differing bits never exceed the symmetric difference).  Words in the
    prefixes of more than ``hot`` lines first propose every line to the earliest one only; lines
    so resolved need no further partner.  The others are compared with earlier ones of their own
@@ -45,6 +45,10 @@ WIDTH = (1 << BITS) // SEGMENTS
 SLICE = 1 << 19
 #: One more shared prefix word is asked for with every so many words of a line, up to so many.
 WORDS_STEP, WORDS_MOST = 48, 4
+#: Rows that a bucket of words holds on average, and rows that a task packs at a time.
+ROWS = 1 << 18
+#: Pairs that are held against the bounds at a time.
+PAIRS = 1 << 18
 #: A hot word's lines are compared in 1 + sqrt(lines / this) salted parts.
 PART = 1 << 12
 
@@ -206,6 +210,104 @@ def _prefixes(percent: int, least: int, hot: int, shared):
     return run
 
 
+def _packed(buckets: int, hot):
+    """(doc, line, n, bits, prefix) -> (bucket, data): rows (token, doc, line, place, bits) of a bucket, without hot words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(hot.value, np.int64)
+        held, count = [], 0
+        for batch in batches:
+            doc, n, prefix = batch.column(0), batch.column(2).to_numpy().astype(np.int64), batch.column(4)
+            many = prefix.value_lengths().to_numpy().astype(np.int64)
+            token = prefix.flatten().to_numpy()
+            of = np.repeat(np.arange(len(many)), many)
+            place = (n << 32 | shared_words(n) << 28)[of] + np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+            if len(known):
+                cold = np.flatnonzero(known[np.minimum(np.searchsorted(known, token), len(known) - 1)] != token)
+                token, of, place = token[cold], of[cold], place[cold]
+            sides = [*_parts(doc), batch.column(1).to_numpy(), batch.column(3).to_numpy()]
+            held.append(np.stack([token, place, *(x[of] for x in sides)]))
+            count += len(token)
+            if count >= ROWS:
+                yield from _by_bucket(np.concatenate(held, axis=1), buckets)
+                held, count = [], 0
+        if count:
+            yield from _by_bucket(np.concatenate(held, axis=1), buckets)
+
+    return run
+
+
+def _parts(doc: pa.Array) -> list[np.ndarray]:
+    """The numbers that make a key."""
+    return [x.to_numpy() for x in (doc.flatten() if pa.types.is_struct(doc.type) else [doc])]
+
+
+def _by_bucket(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = (rows[0].view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")  # by radix where numbers are short
+    bucket, rows = bucket[order], rows.take(order, axis=1)
+    at = _starts(bucket)
+    data = [rows[:, a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(bucket)))]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+def _meet(percent: int, fields: list[str]):
+    """The packed rows of a bucket -> pairs of lines that meet on a word within the bounds of ``LineDedup._bounds``.
+
+    ``fields`` names the parts of a key that is a struct.
+    """
+    width = 4 + max(1, len(fields))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(width, -1) for batch in batches for x in batch.column(batch.schema.get_field_index("data"))]
+        rows = np.concatenate(held, axis=1)
+        del held
+        rows = rows.take(np.argsort(rows[0]), axis=1)
+        at = _starts(rows[0])
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, rows.shape[1]))) << 32
+        order = np.argsort(group | rows[1] >> 32)  # shorter lines first: those that a line meets stand together
+        rows = rows.take(order, axis=1)
+        token, place, ids, bits = rows[0], rows[1], rows[2:-1], rows[-1]
+        n = place >> 32
+        own = np.arange(len(token))
+        more = np.searchsorted(group | n, group | n * 100 // percent, side="right") - own - 1
+        total = np.append(0, np.cumsum(more))
+        i = 0
+        while i < len(token):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, side="right")) - 1)
+            a = np.repeat(own[i:j], more[i:j])
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], more[i:j])
+            i = j
+            yield from _near(a, b, place, ids, bits, percent, fields)
+
+    return run
+
+
+def _near(a: np.ndarray, b: np.ndarray, place: np.ndarray, ids: np.ndarray, bits: np.ndarray, percent: int, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pairs within the bounds, the earlier line first."""
+    apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int32)
+    na, nb = place[a] >> 32, place[b] >> 32
+    ok = np.flatnonzero(apart * (100 + percent) <= (na + nb) * (100 - percent))
+    a, b, apart, na, nb = (x[ok] for x in (a, b, apart, na, nb))
+    asked = (np.minimum(place[a], place[b]) >> 28) & 15
+    left = np.minimum(na - (place[a] & 268435455), nb - (place[b] & 268435455))
+    ok = (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & ((left + asked - 1) * (100 + percent) >= percent * (na + nb))
+    later, same = np.zeros(len(a), bool), np.ones(len(a), bool)
+    for x in ids:
+        later |= same & (x[a] > x[b])
+        same &= x[a] == x[b]
+    ok = np.flatnonzero(ok & ~same)
+    if not len(ok):
+        return
+    first, second = np.where(later, b, a)[ok], np.where(later, a, b)[ok]
+    columns = []
+    for end in first, second:
+        doc = [pa.array(x[end]) for x in ids[:-1]]
+        columns += [pa.StructArray.from_arrays(doc, fields) if fields else doc[0], pa.array(ids[-1][end].astype(np.int32))]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(apart[ok]), pa.array(asked[ok])], names=["a_doc", "a_line", "b_doc", "b_line", "apart", "asked"])
+
+
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, wanted lines) -> (doc, line, set of word hashes)."""
     for whole in batches:
@@ -326,14 +428,18 @@ class LineDedup:
         hot = prefixes.select(F.explode("warm").alias("token")).groupBy("token").count().where(F.col("count") > self.hot)
         hot = materialize(hot.select("token", (1 + F.floor(F.sqrt(F.col("count") / PART))).cast("int").alias("parts")), "hot")
         if hot.isEmpty():
-            return self._resolved(self._shared(self._pairs(rows, rows)), texts)
+            return self._resolved(self._shared(self._meeting(prefixes, hot)), texts)
         known = small(hot)
         warm = materialize(rows.join(known, "token"), "warm")
-        rows = rows.join(known, "token", "left_anti")
+        if known is hot:  # too many words to send
+            rows = rows.join(hot, "token", "left_anti")
+            cold = self._pairs(rows, rows)
+        else:
+            cold = self._meeting(prefixes, hot)
         pivot = warm.groupBy("token").agg(F.min("doc").alias("doc"), F.min_by("line", F.struct("doc", "line")).alias("line"))
         stars = materialize(self._pairs(warm.join(pivot, ["token", "doc", "line"], "left_semi"), warm), "stars")
         found = materialize(self._resolved(stars, texts), "found")
-        pairs = self._pairs(rows, rows).unionByName(self._parted(warm, warm.join(found, ["doc", "line"], "left_anti")))
+        pairs = cold.unionByName(self._parted(warm, warm.join(found, ["doc", "line"], "left_anti")))
         out = found.unionByName(self._resolved(self._shared(pairs), texts))
         discard(stars)
         return out
@@ -365,6 +471,15 @@ class LineDedup:
         rest = materialize(open_.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "rest")
         return found if rest.isEmpty() else found.unionByName(self._verified(rest, texts))
 
+    def _meeting(self, prefixes: DataFrame, hot: DataFrame) -> DataFrame:
+        """The pairs on words that are not hot.  Rows are shuffled as packed buckets of words, as many as there are rows for."""
+        spark, doc = prefixes.sparkSession, prefixes.schema["doc"].dataType
+        kind, fields = doc.simpleString(), doc.names if hasattr(doc, "names") else []
+        known = np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64))
+        buckets = 32 + (prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // ROWS
+        packed = prefixes.select("doc", "line", "n", "bits", "prefix").mapInArrow(_packed(buckets, spark.sparkContext.broadcast(known.tobytes())), "bucket int, data binary")
+        return packed.groupBy("bucket").applyInArrow(_meet(self.percent, fields), f"a_doc {kind}, a_line int, b_doc {kind}, b_line int, apart int, asked long")
+
     def _pairs(self, left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
         a = left.select("token", *more, *(F.col(c).alias(f"a_{c}") for c in ("doc", "line", "place", "bits")))
         b = right.select("token", *more, *(F.col(c).alias(f"b_{c}") for c in ("doc", "line", "place", "bits")))

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from profilark.functions.cluster import table
+from profilark.llm import linededup
 from profilark.llm.linededup import LineDedup
 from profilark.llm.queries import queries
 from tests.llm import brute
@@ -66,3 +70,44 @@ def test_long_lines_that_differ_in_rare_words(spark):
     assert 10 < len(want) < 60
     for hot in (2, 256):
         assert {x.doc: x.lines for x in LineDedup(hot=hot).removed(df).collect()} == want
+
+
+def test_packed_buckets_give_all_pairs(monkeypatch):
+    """Rows packed by few at a time; bounds on pairs; keys of two numbers; hot words stay out, no other does."""
+    monkeypatch.setattr(linededup, "PAIRS", 5)
+    monkeypatch.setattr(linededup, "ROWS", 50)
+    r = random.Random(5)
+    words = [-9, -1, 0, 4, 2**62, -(2**62), 77]
+
+    class Hot:
+        value = np.array([-9, 77], np.int64).tobytes()
+
+    for composite in False, True:
+        lines = []
+        for k in range(150):
+            n, doc = r.choice([8, 9, 10, 60]), r.randrange(30) - 15
+            lines.append(((doc % 3, doc) if composite else doc, k, n, r.choice([0, 1, 7, -1]), r.sample(words, r.randrange(4)) + [10**6 + k]))
+        kind = pa.struct([("id", pa.int64()), ("text_hash", pa.int64())]) if composite else pa.int64()
+        docs = [{"id": x[0][0], "text_hash": x[0][1]} if composite else x[0] for x in lines]
+        kinds = [kind, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        whole = pa.RecordBatch.from_arrays([pa.array(docs if k == 0 else [x[k] for x in lines], t) for k, t in enumerate(kinds)], names=["doc", "line", "n", "bits", "prefix"])
+        want, p = [], 80
+        for d, line, na, bits, prefix in lines:
+            for d2, line2, nb, bits2, prefix2 in lines:
+                apart, asked = ((bits ^ bits2) & (2**64 - 1)).bit_count(), 1 + min(min(na, nb) // 48, 3)
+                for t in set(prefix) & set(prefix2) - {-9, 77}:
+                    left = min(na - prefix.index(t), nb - prefix2.index(t))
+                    near = apart * (100 + p) <= (na + nb) * (100 - p) and na * 100 >= nb * p and nb * 100 >= na * p
+                    if (d, line) < (d2, line2) and near and (left + asked - 1) * (100 + p) >= p * (na + nb):
+                        want.append((d, line, d2, line2, apart, asked))
+        for step in 7, 1000:
+            packed = {}
+            for b in linededup._packed(3, Hot)(whole.slice(k, step) for k in range(0, len(whole), step)):
+                for bucket in b.column(0).unique().to_pylist():
+                    packed.setdefault(bucket, []).append(b.filter(pa.array([x == bucket for x in b.column(0).to_pylist()])))
+            assert len(packed) == 3
+            meet = linededup._meet(80, ["id", "text_hash"] if composite else [])
+            got = [x for bucket, bs in packed.items() for b in meet((bucket,), iter(bs)) for x in b.to_pylist()]
+            flat = lambda d: tuple(d.values()) if composite else d
+            got = [(flat(x["a_doc"]), x["a_line"], flat(x["b_doc"]), x["b_line"], x["apart"], x["asked"]) for x in got]
+            assert len(want) > 100 and sorted(got) == sorted(want)
