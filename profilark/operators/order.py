@@ -16,16 +16,16 @@ CHUNK = 1 << 16
 def with_ordinal(df: DataFrame, order_by: list[str], name: str = ORD) -> DataFrame:
     """``df`` with 0 .. n-1 in the order of these columns (ties are in no defined order: check uniqueness).
 
-    Rows are range partitioned and sorted; each partition's count gives the next one its offset, so
+    Rows are range partitioned and sorted once; each partition's count gives the next one its offset, so
     only one row per partition is ever brought together.
     """
-    ranged = df.repartitionByRange(*order_by).withColumn("__pid", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
+    # monotonically_increasing_id is the partition (from bit 33 on) and the place in it
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranged").withColumn("__pid", F.expr("shiftright(__at, 33)"))
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
     offsets = F.broadcast(counts.select("__pid", F.coalesce(before, F.lit(0)).alias("__before")))
-    local = F.row_number().over(Window.partitionBy("__pid").orderBy(*order_by)) - 1
-    return ranged.withColumn("__local", local).join(offsets, "__pid").withColumn(name, F.col("__before") + F.col("__local")).drop("__pid", "__local", "__before")
+    return ranged.join(offsets, "__pid").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__pid", "__at", "__before")
 
 
 def check_unique(df: DataFrame, order_by: list[str]) -> None:

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilark.functions.cluster import ship
-from profilark.operators.canon import FLOATS, INTEGERS, physical
+from profilark.functions.cluster import materialize, ship
+from profilark.operators.canon import FLOATS, INTEGERS, SCALARS, physical
 from profilark.operators.describe import Describe
 from profilark.operators.integers import Delta
 from profilark.operators.order import with_ordinal
-from profilark.operators.sequence import MinMaxIndex, SetIndex
+from profilark.operators.sequence import MinMaxIndex, Ranked, SetIndex, measure
 
 UNITS = (("s", 1_000_000), ("ms", 1_000), ("us", 1))
 BLOOM_BITS = {0.001: 15, 0.01: 10, 0.025: 8, 0.05: 7}
@@ -446,6 +446,10 @@ class OneShotRecommender:
         profiles = {r["col_a"]: r.asDict() for r in describe.result().collect() if r["status"] == "computed"}
         whole = [c for c in profiles if not isinstance(df.schema[c].dataType, (T.DecimalType, *FLOATS)) and profiles[c]["gcd"] is not None]
         deltas = {r["col_a"]: r.asDict() for r in Delta(baseline=False).add({"f": df}, {"f": self.order_by}).result([(("f", c),) for c in whole]).collect()} if whole else {}
+        indexed = [c for c, p in profiles.items() if self.skip and isinstance(df.schema[c].dataType, SCALARS) and p["n_rows"] > p["n_null"]]
+        if indexed:  # put in order once for all columns and windows
+            ordered = materialize(with_ordinal(df.select(*dict.fromkeys([*indexed, *self.order_by])), self.order_by), "ordered")
+            n_rows = ordered.count()
         rows = []
         for c, p in profiles.items():
             dtype = df.schema[c].dataType
@@ -461,7 +465,7 @@ class OneShotRecommender:
             if isinstance(dtype, INTEGERS) and p["min"] is not None:
                 lo, hi = int(p["min"]), int(p["max"])
             steps = transforms(round(WIDTHS.get(chosen.type.split("[")[0], 16)), int(p["gcd"] or 0), deltas.get(c), (deltas.get(c) or {}).get("value_bytes_mean")) if c in deltas else []
-            skip = self._skip(c, chosen.predicted_bytes or 0) if self.skip and p["n_rows"] > p["n_null"] else None
+            skip = self._skip(ordered, n_rows, c, chosen.predicted_bytes or 0) if c in indexed else None
             top = self._top(c) if self.top_k and any(x.rule == "dictionary" and x.outcome != "rejected" for x in found) else []
             shown = [(x.type, x.rule, x.evidence, float(x.predicted_bytes), float(x.projected_bytes), x.outcome, x.reason) for x in found]
             rows.append((c, dtype.simpleString(), p["class"], p["n_null"] > 0, chosen.type, column_store_type(chosen.type, lo, hi, p["n_null"] > 0), float(chosen.predicted_bytes), steps, skip, shown, p["min"], top))
@@ -511,27 +515,22 @@ class OneShotRecommender:
         counts = self.frame.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count()
         return [(r["v"], r["count"]) for r in counts.orderBy(F.desc("count"), "v").limit(self.top_k).collect()]
 
-    def _skip(self, c: str, column_bytes: float) -> str | None:
-        df, key = self.frame.select(*dict.fromkeys([c, *self.order_by])), [(("f", c),)]
-        n = df.count()
-
-        def measured(technique, kind, g, size=None):
-            r = technique.add({"f": df}, {"f": self.order_by}).result(key).first()
-            blocks = -(-n // (self.index_granularity * g))
-            entry = 16 if kind == "minmax" else 8 * (r["window_distinct_mean"] if kind == "set" else 1)
-            return Measured(kind, g, r["skip_rows_mean"], r["expected_skip_rows"], round(blocks * entry), size, r["overflow_fraction"] if kind == "set" else 0.0)
-
+    def _skip(self, ordered: DataFrame, n: int, c: str, column_bytes: float) -> str | None:
         fits = [g for g in self.granularities if self.index_granularity * g <= n] or [self.granularities[0]]
-        cheap = [measured(MinMaxIndex(index_granularity=self.index_granularity, granularity=g), "minmax", g) for g in fits]
-        cheap += [measured(SetIndex(index_granularity=self.index_granularity, granularity=g, max_size=s), "set", g, s) for g in fits for s in self.set_sizes]
+        tried = [("minmax", g, None, MinMaxIndex(index_granularity=self.index_granularity, granularity=g)) for g in fits]
+        tried += [("set", g, s, SetIndex(index_granularity=self.index_granularity, granularity=g, max_size=s or 0)) for g in fits for s in (*self.set_sizes, None)]  # None: what a Bloom filter would hold
+        found = []
+        for (kind, g, size, _), r in zip(tried, measure(Ranked(ordered, c, n), [x[-1] for x in tried])):
+            entry = 16 if kind == "minmax" else 8 * r["window_distinct_mean"]
+            found.append(Measured(kind, g, r["skip_rows_mean"], r["expected_skip_rows"], round(-(-n // (self.index_granularity * g)) * entry), size, r["overflow_fraction"] if kind == "set" else 0.0))
+        cheap = [m for m in found if m.kind == "minmax"] + [m for m in found if m.kind == "set" and m.max_size is not None]
 
         def bloom():
             out = []
-            for g in fits:
-                m = measured(SetIndex(index_granularity=self.index_granularity, granularity=g, max_size=0), "set", g)
+            for m in (m for m in found if m.kind == "set" and m.max_size is None):
                 for fpr in self.fprs:
                     bits = BLOOM_BITS.get(fpr, math.ceil(-math.log(fpr) / math.log(2) ** 2))
-                    out.append(Measured("bloom", g, m.skip_rows * (1 - fpr), m.expected_skip_rows * (1 - fpr), round(m.bytes * bits / 64)))
+                    out.append(Measured("bloom", m.granularity, m.skip_rows * (1 - fpr), m.expected_skip_rows * (1 - fpr), round(m.bytes * bits / 64)))
             return out
 
         best = decide_skip(cheap, bloom, column_bytes, **self.skip_options)
