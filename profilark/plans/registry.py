@@ -391,7 +391,7 @@ def stream_profile(spark, sf_dir):
     """A profile merged from three batches in order of arrival."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     cut = events.agg(F.expr("percentile_approx(event_id, array(0.3, 0.7))")).first()[0]
-    p = StreamingProfiler(max_values=1 << 20)
+    p = StreamingProfiler(distinct="exact", max_values=1 << 20)
     for part in (events.where(F.col("event_id") <= cut[0]), events.where((F.col("event_id") > cut[0]) & (F.col("event_id") <= cut[1])), events.where(F.col("event_id") > cut[1])):
         p.add(part, ["event_id"])
     return p.result().select("column", "n_rows", "n_null", "n_unique", "min", "max")

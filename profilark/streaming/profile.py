@@ -42,10 +42,14 @@ class StreamingProfiler:
     Columns may appear (earlier rows count as null), stay away (the batch's rows count as null) or begin
     without a type; a change of type is an error, and then the state is as it was.  Value counts are exact
     up to ``max_values`` values a column, beyond that those of smallest hash are kept (a bottom-k sample:
-    counts of kept values stay exact, the number of distinct values comes from a HyperLogLog sketch).
+    counts of kept values stay exact, the number of distinct values comes from a HyperLogLog sketch, or with
+    ``distinct="exact"`` from a table of all values, which grows with them).
     """
 
-    def __init__(self, *, max_values: int = 10_000, precision: int = 14, block_rows: int = 65_536, blocks: int = 8, seed: int = 0):
+    def __init__(self, *, distinct: str = "sketch", max_values: int = 10_000, precision: int = 14, block_rows: int = 65_536, blocks: int = 8, seed: int = 0):
+        if distinct not in ("sketch", "exact"):
+            raise ValueError("distinct: sketch or exact")
+        self.distinct = distinct
         self.max_values, self.precision, self.block_rows, self.blocks, self.seed = max_values, precision, block_rows, blocks, seed
         self.n_rows = 0
         self.types: dict[str, T.DataType] = {}
@@ -53,6 +57,7 @@ class StreamingProfiler:
         self.state: dict[str, dict] = {}
         self.values: DataFrame | None = None
         self.sketches: DataFrame | None = None
+        self.seen: DataFrame | None = None
         self.sample: DataFrame | None = None
 
     def add(self, batch: DataFrame, order_by: list[str]) -> StreamingProfiler:
@@ -64,9 +69,10 @@ class StreamingProfiler:
         placed = materialize(with_ordinal(batch, order_by).withColumn("__ord", F.col("__ord") + self.n_rows), "batch")
         rows = placed.count()
         stats = {c: self._reduce(placed, c) for c in usable} if rows else {}
-        values, sketches = self.values, self.sketches
+        values, sketches, seen = self.values, self.sketches, self.seen
         if rows and usable:
             values, sketches = self._values(placed, usable)
+            seen = self._seen(placed, usable) if self.distinct == "exact" else None
         sample = self._sample(placed, rows)
         # nothing above changes the state, so a failed batch leaves it whole
         for f in batch.schema:
@@ -75,7 +81,7 @@ class StreamingProfiler:
                 self.types[f.name] = f.dataType
         for c, own in stats.items():
             self.state[c] = merge(self.state.get(c), own)
-        self.values, self.sketches, self.sample = values, sketches, sample
+        self.values, self.sketches, self.seen, self.sample = values, sketches, seen, sample
         self.n_rows += rows
         return self
 
@@ -99,9 +105,17 @@ class StreamingProfiler:
         out["gcd"] = int(gcds(df.select(v.alias("v")), ["v"]).first()["gcd"]) if isinstance(dtype, INTEGER_BACKED) else None
         return out
 
-    def _values(self, df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    def _long(self, df: DataFrame, columns: list[str]) -> DataFrame:
         pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), text(F.col(f"`{c}`"), df.schema[c].dataType).alias("v")) for c in columns))).alias("p")
-        long = df.select("__ord", pairs).select("__ord", "p.col", "p.v").where("v is not null")
+        return df.select("__ord", pairs).select("__ord", "p.col", "p.v").where("v is not null")
+
+    def _seen(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """All values so far, once each."""
+        new = self._long(df, columns).select("col", "v")
+        return materialize((new if self.seen is None else new.unionByName(self.seen)).distinct(), "seen")
+
+    def _values(self, df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        long = self._long(df, columns)
         counts = long.groupBy("col", "v").agg(F.count("*").alias("cnt"), F.min("__ord").alias("first"))
         if self.values is not None:
             counts = counts.unionByName(self.values.select("col", "v", "cnt", "first"))
@@ -135,7 +149,8 @@ class StreamingProfiler:
         counted = self.values.groupBy("col").agg(F.count("*").alias("held"), F.sum("cnt").alias("held_rows"), F.count_if(F.col("cnt") == 1).alias("f1"), F.count_if(F.col("cnt") == 2).alias("f2"), F.greatest(entropy("cnt", "cnt"), F.lit(0.0)).alias("entropy"), F.sum(F.octet_length("v")).alias("held_bytes"))
         c1 = chao1(F.col("held"), F.col("f1"), F.col("f2"))
         held = {r["col"]: r for r in counted.withColumn("est", c1[0]).withColumn("high", c1[2]).collect()}
-        hll = {r["col"]: r["n"] for r in self.sketches.select("col", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+        total = self.sketches.select("col", F.hll_sketch_estimate("sketch").alias("n")) if self.seen is None else self.seen.groupBy("col").agg(F.count("*").alias("n"))
+        totals = {r["col"]: r["n"] for r in total.collect()}
         sampled = {"rows": 0, "blocks": 0}
         if self.sample is not None:
             r = self.sample.agg(F.count("*").alias("rows"), F.count_distinct("__block").alias("blocks")).first()
@@ -153,7 +168,7 @@ class StreamingProfiler:
             p = dict(own, n_rows=self.n_rows, n_null=own["n_null"] + absent)
             h = held.get(c)
             exact = h is None or h["held"] < self.max_values
-            distinct = (h["held"] if h else 0) if exact else max(round(hll.get(c, 0)), h["held"])
+            distinct = (h["held"] if h else 0) if exact else max(round(totals.get(c, 0)), h["held"])
             n = p["n_rows"] - p["n_null"]
             plain = not exact or not n or distinct / n >= 0.5
             est, high = (float(distinct), float(distinct)) if plain else (max(h["est"], distinct), max(h["high"], distinct))
@@ -179,11 +194,11 @@ class StreamingProfiler:
 
     def save(self, path: str, spark) -> None:
         """Write the state; a file ``_DONE`` is written last."""
-        for name in ("values", "sketches", "sample"):
+        for name in ("values", "sketches", "seen", "sample"):
             df = getattr(self, name)
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
-        flat = {"n_rows": self.n_rows, "types": {k: t.json() for k, t in self.types.items()}, "first_row": self.first_row, "state": {c: {k: _plain(x) for k, x in own.items()} for c, own in self.state.items()}}
+        flat = {"n_rows": self.n_rows, "distinct": self.distinct, "types": {k: t.json() for k, t in self.types.items()}, "first_row": self.first_row, "state": {c: {k: _plain(x) for k, x in own.items()} for c, own in self.state.items()}}
         spark.createDataFrame([(json.dumps(flat),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
         fs, at = _file_system(spark, f"{path}/_DONE")
         fs.create(at, True).close()
@@ -191,10 +206,12 @@ class StreamingProfiler:
     def load(self, path: str, spark) -> StreamingProfiler:
         """Take on a state that was written."""
         flat = json.loads(spark.read.text(f"{path}/state").first()[0])
+        if (kept := flat.get("distinct", "sketch")) != self.distinct:
+            raise ValueError(f"the state was kept with distinct={kept}")
         self.n_rows, self.first_row = flat["n_rows"], flat["first_row"]
         self.types = {k: T._parse_datatype_json_string(t) for k, t in flat["types"].items()}
         self.state = {c: {k: _typed(x) for k, x in own.items()} for c, own in flat["state"].items()}
-        for name in ("values", "sketches", "sample"):
+        for name in ("values", "sketches", "seen", "sample"):
             fs, at = _file_system(spark, f"{path}/{name}")
             setattr(self, name, spark.read.parquet(f"{path}/{name}") if fs.exists(at) else None)
         return self
